@@ -184,15 +184,18 @@ def latin_skeleton(text) -> Column:
     return F.translate(casefold(text), accented + CONFUSABLES[0], plain + CONFUSABLES[1])
 
 
+def _changed_spelling(plain: str):
+    return lambda m: (m != plain) & (normalize_homoglyphs(m) == plain)
+
+
 def obfuscated_terms(text) -> Column:
     """Protected terms spelled with substitutions; plain spellings never count."""
     c = F.lower(_col(text))
     found = []
     for pattern, term in OBFUSCATED_TERMS:
         hits = F.regexp_extract_all(c, F.lit(f"({pattern})"), 1)
-        changed = F.exists(
-            hits, lambda m, term=term: (m != term.lower()) & (normalize_homoglyphs(m) == term.lower())
-        )
+        plain = term.lower()
+        changed = F.exists(hits, _changed_spelling(plain))
         found.append(F.when(changed, F.lit(term)))
     return F.array_compact(F.array(*found))
 

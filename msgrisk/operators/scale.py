@@ -142,21 +142,28 @@ def ordered_within_key(
     bucket: str,
     position: str = "position",
     previous: dict[str, str] | None = None,
+    running: dict[str, str] | None = None,
 ) -> DataFrame:
     """Number the rows of each key and look one row back, in two levels.
 
     ``bucket`` must grow with ``order``. Each (key, bucket) piece is ordered on its own; the
     pieces are then chained through one summary row per piece, so a key that holds a large
     share of the table is still split over many tasks. ``previous`` maps columns to the name
-    of their predecessor's value.
+    of their predecessor's value, ``running`` maps columns to the name of their sum over all
+    earlier rows of the key.
     """
-    previous = previous or {}
+    previous, running = previous or {}, running or {}
     piece = Window.partitionBy(*keys, bucket).orderBy(*order)
     local = df.withColumn("_local", F.row_number().over(piece))
     for column, name in previous.items():
         local = local.withColumn(f"_lag_{name}", F.lag(column).over(piece))
+    earlier = piece.rowsBetween(Window.unboundedPreceding, -1)
+    for column, name in running.items():
+        local = local.withColumn(f"_sum_{name}", F.coalesce(F.sum(column).over(earlier), F.lit(0)))
     carried = [F.max_by(F.col(c), F.struct(*order)).alias(f"_last_{n}") for c, n in previous.items()]
-    pieces = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"), *carried)
+    pieces = df.groupBy(*keys, bucket).agg(
+        F.count(F.lit(1)).alias("_n"), *carried, *[F.sum(c).alias(f"_t_{n}") for c, n in running.items()]
+    )
     chain = Window.partitionBy(*keys).orderBy(bucket)
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(
@@ -164,6 +171,7 @@ def ordered_within_key(
         bucket,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         *[F.lag(f"_last_{n}").over(chain).alias(f"_carry_{n}") for n in previous.values()],
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in running.values()],
     )
     joined = local.join(pieces, [*keys, bucket])
     out = joined.withColumn(position, F.col("_before") + F.col("_local"))
@@ -171,7 +179,9 @@ def ordered_within_key(
         out = out.withColumn(
             name, F.when(F.col("_local") == 1, F.col(f"_carry_{name}")).otherwise(F.col(f"_lag_{name}"))
         )
-    helper = ["_local", "_before", *[f"_lag_{n}" for n in previous.values()], *[f"_carry_{n}" for n in previous.values()]]
+    for name in running.values():
+        out = out.withColumn(name, F.col(f"_base_{name}") + F.col(f"_sum_{name}"))
+    helper = ["_local", "_before", *[f"_{k}_{n}" for n in running.values() for k in ("base", "sum")], *[f"_lag_{n}" for n in previous.values()], *[f"_carry_{n}" for n in previous.values()]]
     return out.drop(*helper)
 
 
