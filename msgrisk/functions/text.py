@@ -12,7 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
-SPACE = r"\s\p{Z}\x{1c}-\x{1f}\x{85}"
+# Unicode white space: the plain blank and everything else.
+RARE_SPACE = r"\t\n\x0B\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = " " + RARE_SPACE
+SPACE_CHARS = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 EDGE = rf"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
 BEFORE_WORD = rf"(?<![{WORD}])"
 AFTER_WORD = rf"(?![{WORD}])"
@@ -22,6 +29,17 @@ def _col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def literals(values) -> Column:
+    """A constant array of strings, built in one call."""
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({quoted})") if quoted else F.expr("cast(array() as array<string>)")
+
+
 def replace_all(column: Column, pairs) -> Column:
     """Literal replacements applied left to right."""
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, column)
@@ -29,12 +47,13 @@ def replace_all(column: Column, pairs) -> Column:
 
 def strip(text) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(_col(text), rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(_col(text), F.lit(SPACE_CHARS))
 
 
 def squeeze_space(text) -> Column:
     """One blank per run of white space, none at the ends."""
-    return F.trim(F.regexp_replace(_col(text), rf"[{SPACE}]+", " "))
+    # Single blanks, by far the most common run, never match.
+    return F.trim(F.regexp_replace(_col(text), rf"[{RARE_SPACE}][{SPACE}]*| [{SPACE}]+", " "))
 
 
 def casefold(text) -> Column:
@@ -59,7 +78,8 @@ def text_family(text) -> Column:
     c = F.lower(strip(text))
     c = _mask_if(c, c.contains("@"), rf"{EDGE}[{WORD}.+-]+@[{WORD}.-]+\.[a-z]{{2,}}{EDGE}", " <email> ")
     c = _mask_if(c, c.contains("://") | c.contains("www."), rf"{EDGE}(?:https?://|www\.)[^{SPACE}]+", " <url> ")
-    c = F.regexp_replace(c, rf"{BEFORE_WORD}\p{{Nd}}+{AFTER_WORD}", " <number> ")
+    # The digit comes before the look-behind: most positions fail on one cheap test.
+    c = F.regexp_replace(c, rf"\p{{Nd}}(?<![{WORD}]\p{{Nd}})\p{{Nd}}*+{AFTER_WORD}", " <number> ")
     return squeeze_space(c)
 
 
@@ -197,7 +217,9 @@ def obfuscated_terms(text) -> Column:
         plain = term.lower()
         changed = F.exists(hits, _changed_spelling(plain))
         found.append(F.when(changed, F.lit(term)))
-    return F.array_compact(F.array(*found))
+    # A changed spelling always has a substitute next to a letter.
+    possible = c.rlike("[a-z][0134@]|[0134@][a-z]")
+    return F.when(possible, F.array_compact(F.array(*found))).otherwise(F.array().cast("array<string>"))
 
 
 # --- phrases -------------------------------------------------------------------------
@@ -258,7 +280,7 @@ def generic_salutation(text) -> Column:
 def contained_phrases(text, phrases) -> Column:
     """The literal phrases (given order) that occur in the lower-cased text."""
     c = F.lower(_col(text))
-    return F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: c.contains(p))
+    return let(c, lambda t: F.filter(literals(phrases), lambda p: t.contains(p)))
 
 
 def regional_phrases(text) -> Column:
