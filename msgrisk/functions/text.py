@@ -331,10 +331,10 @@ def pressured_credential_request(text, urgency: list[str], threats: list[str]) -
         hits,
         F.struct(F.lit(1).alias("cursor"), F.array().cast("array<struct<start:int,len:int>>").alias("found")),
         lambda acc, m: F.struct(
-            (F.locate(m, c, acc["cursor"]) + F.length(m)).alias("cursor"),
+            (F.position(m, c, acc["cursor"]) + F.length(m)).alias("cursor"),
             F.concat(
                 acc["found"],
-                F.array(F.struct(F.locate(m, c, acc["cursor"]).alias("start"), F.length(m).alias("len"))),
+                F.array(F.struct(F.position(m, c, acc["cursor"]).alias("start"), F.length(m).alias("len"))),
             ).alias("found"),
         ),
     )["found"]
