@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from msgrisk.catalog import QUERIES
@@ -22,23 +23,24 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     spark = build_session(
         "bench", f"local[{cpus}]",
         **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.read.parquet(f"{folder}/nation.parquet").groupBy("n_regionkey").count().collect()  # start the JVM threads
     times: dict[str, float] = {}
-    for name in HEADLINE:
+    for name in sys.argv[1:] or HEADLINE:
         if name not in QUERIES:
             continue
-        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()  # warm
         runs = []
         for _ in range(repeats):
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         times[name] = round(statistics.median(runs), 3)
+        print(name, *[round(r, 2) for r in runs], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "cpus": int(cpus),

@@ -8,6 +8,8 @@ from msgrisk.catalog.registry import query, table
 from msgrisk.functions import hosts as hx
 from msgrisk.operators import links as lk
 from msgrisk.operators import pages as pg
+from msgrisk.operators.scale import spread
+from msgrisk.session import materialize
 
 SUFFIX_RULES = [("com", "normal"), ("net", "normal"), ("org", "normal"), ("io", "normal"), ("co.uk", "normal"), ("uk", "normal"),
                 ("ck", "wildcard"), ("www.ck", "exception")]
@@ -43,7 +45,7 @@ def page_anchor_counts(spark, d):
 @query("host_profile", rf"""WITH {_ANCHOR}
 SELECT regexp_extract(site, '([^./]+\.[^./]+)$', 1) AS registrable, count(*)::BIGINT AS links, count(DISTINCT page_id)::BIGINT AS messages FROM a GROUP BY 1""")
 def host_profile(spark, d):
-    links = page_links(spark, d).withColumn("host", hx.parse_destination("destination")["host"])
+    links = materialize(page_links(spark, d).withColumn("host", hx.parse_destination("destination")["host"]))
     named = lk.registrable_domain(links, "host", suffix_rules(spark), ["page_id", "link_ord"])
     return lk.host_profile(named, ["page_id"])
 
@@ -104,7 +106,7 @@ def event_links(spark, d):
         made = F.concat(F.lit(left), F.col("user_id").cast("string"), F.lit(right))
         destination = F.when(F.col("event_type") == kind, made) if destination is None else destination.when(F.col("event_type") == kind, made)
     visible = F.when(F.col("event_type") == "click", "www.paypal.com").when(F.col("event_type") == "view", "short link").otherwise("")
-    return table(spark, d, "events").select(
+    return spread(table(spark, d, "events"), "event_id").select(
         "event_id", F.lit(0).alias("link_ord"), "event_type", visible.alias("visible"), destination.alias("destination"))
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from msgrisk.operators.scale import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -21,8 +23,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Tables whose rows are costly to process, with the columns that identify a row.
+TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A provided table; text tables delivered as one split are spread over the cores."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df, *TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 # --- SQL twins of column builders ----------------------------------------------------

@@ -20,7 +20,7 @@ from msgrisk.operators.scale import (
     range_cuts,
     salted_join,
 )
-from msgrisk.session import cut_lineage
+from msgrisk.session import cut_lineage, materialize
 
 
 def with_family(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -154,9 +154,12 @@ def overlap_counts(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
 
 
 def reference_overlap(cohort: DataFrame, reference: DataFrame, order: str = "row_ord") -> DataFrame:
-    """One row per distinct cohort text: copies, first row, and why it is kept or not."""
+    """One row per distinct cohort text: copies, first row, and why it is kept or not.
+
+    Texts are read and normalized once; the joins work on a narrow table of digests.
+    """
     def keyed(df):
-        return df.withColumn("exact", F.sha2("text", 256)).withColumn("template", template_fingerprint("text"))
+        return materialize(df.select(order, F.sha2("text", 256).alias("exact"), template_fingerprint("text").alias("template")))
 
     distinct = keyed(cohort).groupBy("exact").agg(
         F.min(order).alias("first_ord"), F.count(F.lit(1)).alias("copies"), F.first("template").alias("template")

@@ -113,45 +113,48 @@ def shortener_host(host) -> Column:
     return hx.listed_domain(host, SHORTENERS).isNotNull()
 
 
-def decoded_hosts(distinct_hosts: DataFrame, host: str) -> DataFrame:
-    """Decoded form and skeleton per host; only hosts that need Unicode work visit Python."""
-    plain = distinct_hosts.where(~ux.needs_unicode(F.col(host))).select(
-        host, F.col(host).alias("decoded"), F.translate(F.col(host), *tx.CONFUSABLES).alias("skeleton")
-    )
-    odd = distinct_hosts.where(ux.needs_unicode(F.col(host))).withColumn("decoded", ux.decode_idna(F.col(host)))
-    return plain.unionByName(odd.select(host, "decoded", ux.confusable_skeleton(F.col("decoded")).alias("skeleton")))
-
-
 def _spells(brand: str):
     return lambda label: hx.brand_lookalike(label, brand)
 
 
-def host_findings(distinct_hosts: DataFrame, host: str, known_hosts: list[str]) -> DataFrame:
-    """Findings that depend on the destination host alone, once per distinct host."""
-    facts = decoded_hosts(distinct_hosts, host)
-    h, skeleton = F.col(host), F.col("skeleton")
+def host_flags(host: Column, decoded: Column, skeleton: Column, known_hosts: list[str]) -> Column:
+    """Codes of the findings that depend on the destination host alone."""
     first = F.substring_index(skeleton, ".", 1)
-    changed = h.startswith("xn--") | (skeleton != tx.casefold("decoded"))
-    label_skeletons = F.filter(F.split(skeleton, r"\."), lambda x: x != "")
+    changed = host.startswith("xn--") | (skeleton != tx.casefold(decoded))
+    labels = F.filter(F.split(skeleton, r"\."), lambda x: x != "")
     confusable, lookalike = [], []
     for brand in hx.PROTECTED_BRANDS:
         stranger = ~hx.canonical_for(host, brand)
         idn = first.contains(brand) & stranger & changed
         confusable.append(idn)
-        lookalike.append(~idn & stranger & F.exists(label_skeletons, _spells(brand)))
+        lookalike.append(~idn & stranger & F.exists(labels, _spells(brand)))
     words = F.split(skeleton, "[^a-z0-9]+")
-    has = lambda terms: F.arrays_overlap(words, F.array(*[F.lit(t) for t in terms]))
+    has = lambda terms: F.arrays_overlap(words, tx.literals(terms))
     collects = has(SECRET_TERMS) & has(COLLECT_TERMS)
     sensitive = has(SENSITIVE_TERMS) & hx.listed_domain(host, known_hosts).isNull()
     either = lambda cs: reduce(lambda a, b: a | b, cs)
     flags = {
-        "ip-host": hx.is_ip_host(h),
+        "ip-host": hx.is_ip_host(host),
         "idn-confusable": either(confusable),
         "brand-lookalike": either(lookalike),
         "credential-collection-host": sensitive & collects,
         "sensitive-host": sensitive & ~collects,
     }
-    return facts.select(host, "decoded", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()])).alias("host_flags"))
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))
+
+
+def _with_decoded(links: DataFrame, spread_by: list[str]) -> DataFrame:
+    """Decoded host and skeleton per link.
+
+    Plain hosts are handled in the projection; only links whose host needs Unicode work are
+    joined to the decoded distinct hosts.
+    """
+    odd = F.coalesce(ux.needs_unicode(F.col("_host")), F.lit(False))
+    plain = links.where(~odd).withColumns({"decoded": F.col("_host"), "skeleton": F.translate("_host", *tx.CONFUSABLES)})
+    coded = links.where(odd)
+    hosts = coded.select("_host").distinct().withColumn("decoded", ux.decode_idna(F.col("_host")))
+    hosts = hosts.withColumn("skeleton", ux.confusable_skeleton(F.col("decoded")))
+    return plain.unionByName(salted_join(coded, hosts, ["_host"], "left", spread_by).select(plain.columns))
 
 
 def parsed_links(links: DataFrame) -> DataFrame:
@@ -166,12 +169,8 @@ def link_findings(links: DataFrame, key: list[str], known_hosts: list[str]) -> D
     """
     p = parsed_links(links)
     web = F.col("p.scheme").isin("http", "https") & F.col("p.valid")
-    p = p.withColumn("_host", F.when(web, F.col("p.host")))
-    per_host = host_findings(p.select("_host").where("_host IS NOT NULL AND _host <> ''").distinct(), "_host", known_hosts)
-    shown = hx.visible_host("visible")
-    # Display labels are few characters; the decoded form matters only for encoded labels.
-    p = p.withColumn("_shown", shown)
-    joined = salted_join(p, per_host, ["_host"], "left", [*key, "link_ord"])
+    p = p.withColumns({"_host": F.when(web, F.col("p.host")), "_shown": hx.visible_host("visible")})
+    joined = _with_decoded(p, [*key, "link_ord"])
     own = {
         "obfuscated-scheme": F.lower("destination").rlike("^hxxps?://"),
         "malformed-target": ~F.col("p.valid"),
@@ -183,7 +182,8 @@ def link_findings(links: DataFrame, key: list[str], known_hosts: list[str]) -> D
     }
     found = F.concat(
         F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in own.items()])),
-        F.coalesce("host_flags", F.array().cast("array<string>")),
+        F.when(web & (F.col("_host") != ""), host_flags(F.col("_host"), F.col("decoded"), F.col("skeleton"), known_hosts)).otherwise(
+            F.array().cast("array<string>")),
     )
     once = joined.select(*key, "link_ord", F.explode(found).alias("finding")).groupBy(*key, "finding").agg(
         F.min("link_ord").alias("link_ord")

@@ -6,6 +6,8 @@ capped per category, so long rule lists cannot outvote structure.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +53,36 @@ def keyword_rules(messages: DataFrame, rules: DataFrame, key: str, text: str = "
     return _joined(messages, rules, key, text)
 
 
+def _lead(phrase: str) -> str | None:
+    """First word of a phrase, if a match must contain it as a whole word."""
+    found = re.search(r"\w+", phrase.lower())
+    return None if found is None or phrase.startswith("_") else found[0]
+
+
+def _lowered(messages: DataFrame, rules, key: str, text: str) -> DataFrame:
+    """Lower-cased text and the rule lead words it contains.
+
+    One pass over the words decides which phrases are worth a search, so the cost hardly
+    depends on how many phrases there are.
+    """
+    leads = sorted({_lead(r.phrase) for r in rules} - {None})
+    low = messages.select(key, F.lower(text).alias("_low"))
+    words = F.regexp_extract_all("_low", F.lit(rf"([{WORD}]+)"), 1)
+    return low.withColumn("_leads", F.array_intersect(words, tx.literals(leads)))
+
+
+def _hit(r) -> Column:
+    lead = _lead(r.phrase)
+    found = tx.keyword_match("_low", r.phrase)
+    return found if lead is None else F.array_contains("_leads", lead) & found
+
+
 def _unrolled(messages: DataFrame, rules, key: str, text: str) -> DataFrame:
-    lowered = messages.select(key, F.lower(text).alias("_low"))
+    lowered = _lowered(messages, rules, key, text)
     per_category = []
     for category in sorted({r.category for r in rules}):
         hits = [
-            F.when(
-                tx.keyword_match("_low", r.phrase),
-                F.struct(F.lit(r.ord).cast("bigint").alias("ord"), F.lit(r.phrase).alias("phrase")),
-            )
+            F.when(_hit(r), F.struct(F.lit(r.ord).cast("bigint").alias("ord"), F.lit(r.phrase).alias("phrase")))
             for r in sorted(rules, key=lambda r: r.ord)
             if r.category == category
         ]
@@ -101,14 +124,11 @@ def _joined(messages: DataFrame, rules: DataFrame, key: str, text: str) -> DataF
 
 
 def _unrolled_hits(messages: DataFrame, rules, key: str, text: str) -> DataFrame:
-    lowered = messages.select(key, F.lower(text).alias("_low"))
     hits = [
-        F.when(
-            tx.keyword_match("_low", r.phrase),
-            F.struct(F.lit(r.category).alias("category"), F.lit(r.ord).cast("bigint").alias("ord"), F.lit(r.phrase).alias("phrase")),
-        )
+        F.when(_hit(r), F.struct(F.lit(r.category).alias("category"), F.lit(r.ord).cast("bigint").alias("ord"), F.lit(r.phrase).alias("phrase")))
         for r in rules
     ]
+    lowered = _lowered(messages, rules, key, text)
     return lowered.select(key, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(key, "h.*")
 
 

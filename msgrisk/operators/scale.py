@@ -57,6 +57,16 @@ def salted_join(
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Split an under-split input over the cores before CPU-heavy row work.
+
+    A scan that already has at least one partition per core is returned unchanged, so large
+    inputs are never shuffled for this. Hashing by key keeps retries deterministic.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def small_or_none(df: DataFrame, max_rows: int = 200_000) -> DataFrame | None:
     """``df`` marked for broadcast if it provably has at most ``max_rows`` rows, else None."""
     if df.limit(max_rows + 1).count() > max_rows:
