@@ -49,7 +49,8 @@ def analyze_messages(
     scored = parsed.withColumn(
         "text", rules.message_text("subject", F.when(unsure, F.lit("")).otherwise(F.col("text")))
     )
-    found_links = pages.html_links(parsed, key)
+    # Extracted once: both the counts and the findings read the narrow link table.
+    found_links = materialize(pages.html_links(parsed, key))
     url_counts = found_links.groupBy(*key).agg(
         F.count_if(F.col("destination").rlike("(?i)^https?://")).alias("url_count"),
         F.max(links.shortener_host(links.hx.parse_destination("destination")["host"])).alias("shortened"),
