@@ -93,6 +93,12 @@ def merged_reports(spark, d):
     return ops.merge_duplicate_reports(reasoned.where("reason IS NULL")).select("id", "label", "conflict", "copies")
 
 
+@query("merged_report_reviewers", f"WITH {_R} SELECT count(*)::BIGINT AS pairs FROM (SELECT DISTINCT o_custkey, unnest(['r1', o_orderpriority]) FROM r WHERE why IS NULL)")
+def merged_report_reviewers(spark, d):
+    reasoned = ops.feedback_reason(cases(spark, d))
+    return ops.merged_report_members(reasoned.where("reason IS NULL"))[1].agg(F.count(F.lit(1)).alias("pairs"))
+
+
 @query("review_violations", f"""WITH {_CASES},
 v AS (SELECT id, [CASE WHEN status = 'closed' AND verdict IS NULL THEN 'verdict_required' END,
   CASE WHEN status = 'closed' AND reason IS NULL THEN 'reason_and_basis_required' END,

@@ -175,18 +175,31 @@ def feedback_reason(cases: DataFrame) -> DataFrame:
     return cases.withColumn("reason", reason)
 
 
-def merge_duplicate_reports(eligible: DataFrame) -> DataFrame:
-    """One row per message content: least id, all reviewers and cases; disagreeing labels drop out."""
+def with_content_digest(eligible: DataFrame) -> DataFrame:
     payload = F.when(F.col("input_mode") == "eml", F.try_to_binary("eml_base64", F.lit("base64"))).otherwise(
         F.encode(F.to_json(F.struct("body", "subject")), "UTF-8"))
-    keyed = eligible.withColumn("content_sha256", tagged_digest(F.col("input_mode"), payload))
-    return keyed.groupBy("input_mode", "content_sha256").agg(
+    return eligible.withColumn("content_sha256", tagged_digest(F.col("input_mode"), payload))
+
+
+def merge_duplicate_reports(eligible: DataFrame) -> DataFrame:
+    """One row per message content: least id, its label, copies; disagreeing labels are marked."""
+    return with_content_digest(eligible).groupBy("input_mode", "content_sha256").agg(
         F.min("id").alias("id"), F.min_by("verdict", "id").alias("label"), (F.min("verdict") != F.max("verdict")).alias("conflict"),
-        F.count(F.lit(1)).alias("copies"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reviewers")))).alias("case_reviewer_ids"),
-        F.array_sort(F.collect_set("id")).alias("source_case_ids"),
+        F.count(F.lit(1)).alias("copies"),
     )
 
 
+def merged_report_members(eligible: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Source cases and distinct reviewers per message content, in long form.
+
+    Content reported very often never has to fit in one row.
+    """
+    keyed = with_content_digest(eligible)
+    cases = keyed.select("input_mode", "content_sha256", F.col("id").alias("source_case_id"))
+    reviewers = keyed.select("input_mode", "content_sha256", F.explode("reviewers").alias("case_reviewer_id")).distinct()
+    return cases, reviewers
+
+
 def exclusion_counts(reasoned: DataFrame, merged: DataFrame) -> DataFrame:
     """Rows per exclusion reason, including duplicates, conflicts and what was exported."""
     by_reason = reasoned.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
@@ -281,6 +294,7 @@ def message_preview(parts: DataFrame, key: list[str], order: str, budget: int =
     from msgrisk.operators.rules import bounded_text
 
     masked = parts.select(*key, order, tx.mask_inline_data("text").alias("text"))
+    # Parts past the budget are empty and are not gathered, so a preview is a bounded row.
     cut = bounded_text(masked, key[0], order, "text", budget)
-    joined = cut.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("_p"), F.max("truncated").alias("truncated"))
+    joined = cut.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct(order, "text")))).alias("_p"), F.max("truncated").alias("truncated"))
     return joined.select(*key, F.array_join(F.transform("_p", lambda x: x["text"]), "\n\n").alias("preview"), "truncated")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgrisk.functions import text as tx
+from msgrisk.operators.scale import dimension_join
 from msgrisk.operators.reviews import STATUSES, VERDICTS, codes
 from msgrisk.functions.stats import LEVELS
 
@@ -80,11 +81,11 @@ def manifest_sources(spark: SparkSession, path: str) -> DataFrame:
 def manifest_records(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Records against their manifest: unique ids, known sources, matching content digests."""
     ids = rows.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("_repeated"))
-    known = F.broadcast(sources.select(F.col("id").alias("source_id"), F.lit(True).alias("_known")).distinct().limit(100))
+    known = sources.select(F.col("id").alias("source_id"), F.lit(True).alias("_known")).distinct()
     payload = F.to_json(F.array(F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit(""))))
     digest = F.sha2(payload, 256)
     shaped = lambda c: F.col(c).isNull() | _matches(c, "^[a-z][a-z0-9_-]{1,39}$")
-    joined = rows.join(ids, "id", "left").join(known, "source_id", "left")
+    joined = dimension_join(rows.join(ids, "id", "left"), known, ["source_id"], "left", ["id"])
     return joined.withColumn("violations", codes({
         "invalid_json": F.col("_corrupt").isNotNull(),
         "invalid_id": ~_matches("id", _ID),
