@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from msgrisk.llm.common import shared_folder, table
+from msgrisk.llm.langid import held_out, identify_languages, learn_languages
+from msgrisk.llm.licenses import scan_licenses
 from msgrisk.llm.packing import pack_sequences
 from msgrisk.llm.tokenstore import read_store, write_store
 
@@ -30,3 +32,15 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     write_store(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_store(spark, folder).drop("shard")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = identify_languages(docs, learn_languages(docs))
+    return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
