@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from msgrisk.llm.common import shared_folder, table
+from msgrisk.llm.jaccard import ngram_components
 from msgrisk.llm.langid import held_out, identify_languages, learn_languages
 from msgrisk.llm.licenses import scan_licenses
 from msgrisk.llm.packing import pack_sequences
@@ -44,3 +45,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), words=5, percent=80)
