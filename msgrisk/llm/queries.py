@@ -12,6 +12,7 @@ from msgrisk.llm.jaccard import ngram_components
 from msgrisk.llm.langid import held_out, identify_languages, learn_languages
 from msgrisk.llm.licenses import scan_licenses
 from msgrisk.llm.packing import pack_sequences
+from msgrisk.llm.suffixes import remove_repeats
 from msgrisk.llm.tokenstore import read_store, write_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +51,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=50)
