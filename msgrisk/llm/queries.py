@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from msgrisk.llm.common import shared_folder, table
 from msgrisk.llm.jaccard import ngram_components
 from msgrisk.llm.langid import held_out, identify_languages, learn_languages
 from msgrisk.llm.licenses import scan_licenses
 from msgrisk.llm.packing import pack_sequences
+from msgrisk.llm.pieces import decode_pieces, encode_sampled
 from msgrisk.llm.suffixes import remove_repeats
 from msgrisk.llm.tokenstore import read_store, write_store
 from msgrisk.llm.vectors import exact_top_k, nearest_neighbours
@@ -89,3 +91,15 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: pieces of its sampled segmentation, their checksum, and whether decoding gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = encode_sampled(table(spark, sf_dir, "documents"), model, seed=1, keep=["text"])
+    decoded = decode_pieces(encoded, model, keep=["doc_id", "text", "n_pieces", "ids_crc32"])
+    return decoded.select(
+        "doc_id", "n_pieces", "ids_crc32", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
