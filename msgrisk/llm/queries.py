@@ -12,6 +12,7 @@ from msgrisk.llm.common import shared_folder, table
 from msgrisk.llm.jaccard import ngram_components
 from msgrisk.llm.langid import held_out, identify_languages, learn_languages
 from msgrisk.llm.licenses import scan_licenses
+from msgrisk.llm.maintext import main_text, train_field
 from msgrisk.llm.packing import pack_sequences
 from msgrisk.llm.pieces import decode_pieces, encode_sampled
 from msgrisk.llm.suffixes import remove_repeats
@@ -103,3 +104,9 @@ def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_pieces", "ids_crc32", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
     )
+
+
+@query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, train_field(pages))
