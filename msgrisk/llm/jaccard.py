@@ -82,12 +82,13 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         for part in slices(batches, "text"):
             found = [shingles(t, words) for t in part["text"]]
             yield {
-                "doc_id": part["doc_id"], "n": [len(x) for x in found],
+                "doc_id": part["doc_id"], "rid": part["rid"], "n": [len(x) for x in found],
                 "sid": [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in found],
                 "classes": [classes(x) if len(x) else b"" for x in found], "tokens": [x.tobytes() for x in found],
             }
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, n int, sid long, classes binary, tokens binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("rid"))
+    return arrow_map(rows, work, "doc_id long, rid long, n int, sid long, classes binary, tokens binary")
 
 
 def _frequent(sets: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -384,6 +385,7 @@ def _verify(members: DataFrame, percent: int) -> DataFrame:
 
 def ngram_components(
     docs: DataFrame, words: int = 5, percent: int = 80, frequent_tokens: int = 500_000, hot_share: float = 0.005, short_list: int = 16,
+    row_key: bool = False,
 ) -> DataFrame:
     """Connected groups of texts whose word ``words``-gram sets have a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -391,7 +393,8 @@ def ngram_components(
     (smallest doc_id that links reach, its own included) and n_links (other documents it links with). A null, empty or
     wordless text has an empty set, links with nothing and is its own component; rows with equal sets always link,
     repeated rows too; a null doc_id counts as a document but never names a component that has another.
-    ``frequent_tokens`` bounds the broadcast order of tokens, not what is found.
+    ``frequent_tokens`` bounds the broadcast order of tokens, not what is found. With ``row_key`` also rid, the row's
+    xxhash64 of doc_id and text, and whether the row is the one of its component that stays.
     """
     sets = materialize(_sets(docs, words))
     frequent = _frequent(sets.where("n > 1"), frequent_tokens)
@@ -403,14 +406,14 @@ def ngram_components(
     linked = links.groupBy("sid").agg(F.sum("links").alias("_links")).join(
         parts.select(F.col("node").alias("sid"), F.col("component").alias("_part")), "sid"
     )
-    by_set = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_copies"))
-    by_set = by_set.join(linked, "sid", "left").withColumn("_part", F.coalesce("_part", "sid"))
-    named = materialize(by_set)
+    last = F.lit((1 << 63) - 1)
+    row = F.struct(F.coalesce("doc_id", last).alias("doc_id"), "rid")
+    by_set = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min(row).alias("_least"), F.count(F.lit(1)).alias("_copies"))
+    named = materialize(by_set.join(linked, "sid", "left").withColumn("_part", F.coalesce("_part", "sid")))
     least = named.groupBy("_part").agg(F.min("_least").alias("_first"))
-    by_set = named.join(least, "_part").select(
-        "sid", "_first", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links")
-    )
-    return sets.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sid").join(by_set, "sid", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("_first")).alias("component_id"),
-        F.coalesce("_links", F.lit(0)).alias("n_links"),
+    by_set = named.join(least, "_part").select("sid", "_first", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"))
+    first = F.when(F.col("sid").isNull(), row).otherwise(F.col("_first"))
+    return sets.select("doc_id", "rid", F.col("n").cast("long").alias("n_shingles"), "sid").join(by_set, "sid", "left").select(
+        "doc_id", "n_shingles", F.nullif(first["doc_id"], last).alias("component_id"), F.coalesce("_links", F.lit(0)).alias("n_links"),
+        *([F.col("rid"), (first["rid"] == F.col("rid")).alias("stays")] if row_key else []),
     )
