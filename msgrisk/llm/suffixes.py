@@ -4,8 +4,9 @@ A byte goes if it lies in a string of ``window`` bytes that also starts in a doc
 cut so that no suffix order of the whole corpus is needed:
 
 1. Each window of a text names its least 16-byte gram (by hash); neighbouring windows with the same one form a
-   segment. Equal windows always name the same gram, so a window whose gram is found in one document only cannot
-   repeat. Grams are counted by a shuffle; a gram that repeats inside a task sends one row only.
+   segment. Equal windows always name the same gram and agree in the bytes on one side of it, so a window whose gram
+   and sides are found in one document only cannot repeat. A shuffle by gram finds the others; what repeats inside a
+   task sends one row only.
 2. The segments with shared grams go to the task of their gram. Copies met in the same task are settled before the
    shuffle by the smallest key among them. Segments of a very common gram go on as single windows instead, each to the
    task of its own hash.
@@ -191,46 +192,101 @@ def repeated(strings: list[bytes], keys: np.ndarray, window: int, shard_bytes: i
     return string[gone], place[gone]
 
 
+def united(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Maximal runs of intervals."""
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return runs
+
+
 # --- tasks ------------------------------------------------------------------------------
 
 
+def context_keys(data: bytes, places: np.ndarray, reach: int) -> np.ndarray:
+    """40 bits of the hash of each gram and 12 bits each of the ``reach`` bytes before and after it."""
+    padded = b"\0" * (reach + 7) + data + b"\0" * (reach + 7)
+    shift = reach + 7
+    words = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+
+    def hashed(begin: np.ndarray, size: int) -> np.ndarray:
+        total = np.zeros(len(begin), dtype=np.uint64)
+        for at in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
+            total = mix(total + words[begin + at])
+        return total
+
+    gram = gram_hashes(data, places)
+    before, after = hashed(places + shift - reach, reach), hashed(places + shift + GRAM, reach)
+    return (gram & ~np.uint64((1 << 24) - 1)) | ((before >> np.uint64(52)) << np.uint64(12)) | (after >> np.uint64(52))
+
+
+def _several(group: np.ndarray, rid: np.ndarray) -> np.ndarray:
+    """Rows whose group (any order) holds rows of different rids."""
+    order = np.argsort(group, kind="stable")
+    sorted_group = group[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_group[1:] != sorted_group[:-1]]))
+    rows = rid[order]
+    mixed = np.maximum.reduceat(rows, starts) != np.minimum.reduceat(rows, starts)
+    out = np.empty(len(group), dtype=bool)
+    out[order] = np.repeat(mixed, np.diff(np.append(starts, len(group))))
+    return out
+
+
+def _sides(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gram with the bytes before it, and gram with those after it, as two numbers."""
+    low = np.int64((1 << 12) - 1)
+    return key & ~low, (key & ~np.int64((1 << 24) - 1)) | (key & low)
+
+
+#: packed = place << 32 | copies in the task (to 32767) << 17 | settled << 16 | windows << 8 | gram's place in the segment
+_COPIES, _SETTLED = np.int64(17), np.int64(1 << 16)
+
+
 def _shared_grams(docs: DataFrame, window: int, hot: int) -> DataFrame:
-    """Segments whose gram is found in several rows: (rid, packed), packed = place, windows, gram's place in it.
+    """Segments that another row may share: (rid, packed). Rows with a null rid name the very common grams.
 
-    Rows with a null rid name the very common grams, those of over ``hot`` segments.
+    Every window that contains a gram also contains the (window - 16) / 2 bytes before it or those after it, so two
+    rows can only share a window if gram and one side agree; a hash of gram and sides is the key.
     """
+    reach = (window - GRAM) // 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> dict:
-            h, rid, packed = (np.concatenate(x) for x in zip(*held))
+            key, rid, packed = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.lexsort((rid, h))
-            h, rid, packed = h[order], rid[order], packed[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            group = np.cumsum(new) - 1
-            starts = np.flatnonzero(new)
-            count = np.diff(np.append(starts, len(h)))
-            several = np.maximum.reduceat(rid, starts) != np.minimum.reduceat(rid, starts)
-            known = several[group]
-            asks = new | ~known  # one row of a gram known to repeat, every row of any other
-            n = np.where(known, count[group], 1)
+            before, after = _sides(key)
+            known = _several(before, rid) | _several(after, rid)
+            order = np.argsort(key, kind="stable")
+            sorted_key = key[order]
+            starts = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+            first = order[starts]
+            copies = np.minimum(np.diff(np.append(starts, len(key))), 32_767)
+            asks = ~known
+            asks[first] = True  # one row of those known to repeat speaks for all
+            n = np.ones(len(key), dtype=np.int64)
+            n[first] = np.where(known[first], copies, 1)
+            told = np.flatnonzero(known)
             with np.errstate(over="ignore"):
-                apart = mix(rid[known].view(np.uint64)).view(np.int64)
+                apart = mix(rid[told].view(np.uint64)).view(np.int64)
             return {
-                "key": np.concatenate([h[asks].view(np.int64), apart]),
-                "settled": np.concatenate([np.zeros(int(asks.sum()), dtype=bool), np.ones(len(apart), dtype=bool)]),
-                "rid": np.concatenate([rid[asks], rid[known]]), "packed": np.concatenate([packed[asks], packed[known]]),
-                "n": np.concatenate([n[asks], np.zeros(len(apart), dtype=np.int64)]),
+                "key": np.concatenate([key[asks], apart]), "rid": np.concatenate([rid[asks], rid[told]]),
+                "packed": np.concatenate([packed[asks] | (n[asks] << _COPIES), packed[told] | _SETTLED]),
             }
 
         for part in slices(batches, "text"):
             rids = np.asarray(part["rid"], dtype=np.int64)
-            for number, at, windows, place, h in segments([(t or "").encode("utf-8", "surrogatepass") for t in part["text"]], window):
-                held.append((h, rids[number], (at << 16) | (windows << 8) | (place - at)))
-                size += len(h)
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in part["text"]]
+            joined, starts = b"".join(texts), np.cumsum([0, *map(len, texts)])
+            for number, at, windows, place, _ in segments(texts, window):
+                key = context_keys(joined, starts[number] + place, reach).view(np.int64)
+                held.append((key, rids[number], (at << 32) | (windows << 8) | (place - at)))
+                size += len(key)
                 if size > 1_000_000:
                     yield flush()
                     size = 0
@@ -240,36 +296,44 @@ def _shared_grams(docs: DataFrame, window: int, hot: int) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        gram = ~np.int64((1 << 24) - 1)
 
         def settle(rows: tuple[np.ndarray, ...]) -> dict:
-            key, rid, packed, n = rows
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            starts = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            several = (np.maximum.reduceat(rid, starts) != np.minimum.reduceat(rid, starts)) | (np.maximum.reduceat(n, starts) > 1)
-            common = key[starts][np.add.reduceat(n, starts) > hot]
-            ok = several[group]
-            return {"rid": [*rid[ok].tolist(), *[None] * len(common)], "packed": np.concatenate([packed[ok], common])}
+            key, rid, packed = rows
+            # Most grams are alone; rows come sorted, so neighbours tell.
+            same = (key[1:] & gram) == (key[:-1] & gram)
+            near = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            key, rid, packed = key[near], rid[near], packed[near]
+            if not len(key):
+                return {"rid": [], "packed": []}
+            n = (packed >> _COPIES) & 32_767
+            kept = np.zeros(len(key), dtype=bool)
+            common: list[np.ndarray] = []
+            for side in _sides(key):
+                kept |= _several(side, rid)
+                names, which = np.unique(side, return_inverse=True)
+                common.append(names[np.bincount(which, weights=n) > hot] & gram)
+            hot_grams = np.unique(np.concatenate(common))
+            return {"rid": [*rid[kept].tolist(), *[None] * len(hot_grams)], "packed": np.concatenate([packed[kept], hot_grams])}
 
         for batch in batches:
-            key, settled, rid, packed, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "settled", "rid", "packed", "n"))
-            yield {"rid": rid[settled], "packed": packed[settled]}
-            ask = ~settled
-            if not ask.any():
-                continue
-            held.append((key[ask], rid[ask], packed[ask], n[ask].astype(np.int64)))
-            size += int(ask.sum())
+            key, rid, packed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rid", "packed"))
+            settled = packed & _SETTLED != 0
+            if settled.any():
+                yield {"rid": rid[settled], "packed": packed[settled]}
+            held.append((key[~settled], rid[~settled], packed[~settled]))
+            size += int((~settled).sum())
             if size > 500_000:
                 rows = tuple(np.concatenate(x) for x in zip(*held))
-                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last gram may go on
+                cut = int(np.searchsorted(rows[0], rows[0][-1] & gram))  # the last gram may go on
                 if cut:
                     yield settle(tuple(x[:cut] for x in rows))
                 held, size = [tuple(x[cut:] for x in rows)], len(rows[0]) - cut
         if held:
             yield settle(tuple(np.concatenate(x) for x in zip(*held)))
 
-    rows = arrow_map(docs.select("rid", "text"), find, "key long, settled boolean, rid long, packed long, n int")
-    return arrow_map(rows.repartition("key").sortWithinPartitions("settled", "key"), keep, "rid long, packed long")
+    rows = arrow_map(docs.select("rid", "text"), find, "key long, rid long, packed long")
+    return arrow_map(rows.repartition(F.shiftright("key", 24)).sortWithinPartitions("key"), keep, "rid long, packed long")
 
 
 def _intervals(texts: DataFrame, common_grams: np.ndarray, window: int) -> DataFrame:
@@ -284,8 +348,8 @@ def _intervals(texts: DataFrame, common_grams: np.ndarray, window: int) -> DataF
             for doc, rid, text, packs in zip(part["doc"], part["rid"], part["text"], part["packs"]):
                 data = text.encode("utf-8", "surrogatepass")
                 packed = np.asarray(packs, dtype=np.int64)
-                start, windows, gram = packed >> 16, (packed >> 8) & 255, packed & 255
-                hashes = gram_hashes(data, start + gram).view(np.int64)
+                start, windows, gram = packed >> 32, (packed >> 8) & 255, packed & 255
+                hashes = gram_hashes(data, start + gram).view(np.int64) & ~np.int64((1 << 24) - 1)
                 common = np.isin(hashes, shared.value)
                 for at, width, h, single in zip(start.tolist(), windows.tolist(), hashes.tolist(), common.tolist()):
                     if single:
@@ -298,14 +362,20 @@ def _intervals(texts: DataFrame, common_grams: np.ndarray, window: int) -> DataF
                         asked.setdefault(s, []).append((doc, rid, at))
                         keys[s] = h
             rows: list[tuple] = []
+            done: dict[int, list[tuple[int, int]]] = {}
             for s, places in asked.items():
+                key, size = keys[s], len(s)
+                if len(places) == 1:
+                    doc, rid, at = places[0]
+                    rows.append((key, False, doc, rid, at, s, 0))
+                    continue
                 least = min(places)[0]
-                key = keys[s]
                 for doc, rid, at in places:
                     if doc > least:
-                        rows.append((rid, True, doc, rid, at, b"", at + len(s)))
+                        done.setdefault(rid, []).append((at, at + size))
                     else:
                         rows.append((key, False, doc, rid, at, s, 0))
+            rows += [(rid, True, 0, rid, a, b"", b) for rid, spans in done.items() for a, b in united(spans)]
             if rows:
                 yield dict(zip(names, map(list, zip(*rows))))
 
@@ -380,7 +450,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, hot: int | None = None, ke
     grams are dealt out.
     """
     keep = keep or []
-    rid = F.xxhash64("doc_id", "text")
+    full = F.xxhash64("doc_id", "text")
+    # Rows that differ need different keys; the key with the number in it packs better, where it serves.
+    short = F.expr("shiftleft(coalesce(cast(doc_id AS long), -1), 12)").bitwiseOR(full.bitwiseAND(4095))
+    clash = docs.groupBy(short.alias("k")).agg(F.min(full).alias("a"), F.max(full).alias("b")).where("a <> b").limit(1).count()
+    rid = full if clash else short
     whole = docs.select("doc_id", *[c for c in keep if c not in ("doc_id", "text")], "text", rid.alias("rid"))
     hot = hot if hot is not None else max(2_000, int(0.005 * docs.count()))
     found = materialize(_shared_grams(whole, window, hot))
@@ -401,12 +475,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, hot: int | None = None, ke
                 out["kept_text"] = []
             for text, cuts in zip(part["text"], part["spans"]):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                runs: list[list[int]] = []
-                for a, b in sorted((x["first"], x["upto"]) for x in cuts or ()):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
+                runs = united([(x["first"], x["upto"]) for x in cuts or ()])
                 edges = [0, *(x for run in runs for x in run), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out["n_bytes"].append(len(data))
