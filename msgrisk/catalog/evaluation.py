@@ -124,7 +124,7 @@ def compare_reports(spark, d):
 
 @query("regression_gate", _GATE + """
 SELECT count(*)::BIGINT AS checked, count(*) FILTER (WHERE status = 'regression')::BIGINT AS regressions, 0::BIGINT AS incomparable,
-  count(*) FILTER (WHERE status = 'regression') = 0 AS passed FROM r""")
+  count(*) > 0 AND count(*) FILTER (WHERE status = 'regression') = 0 AS passed FROM r""")
 def regression_gate(spark, d):
     config = {"verification_mode": "off"}
     return ops.regression_gate(_comparison(spark, d), config, dict(config))

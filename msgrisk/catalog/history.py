@@ -24,7 +24,7 @@ def address(user="user_id"):
 WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
 b AS (SELECT user_id, ts, sum(CASE WHEN prev IS NOT NULL AND epoch_us(ts) - epoch_us(prev) >= 86400000000 THEN 1 ELSE 0 END)
       OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) + 1 AS episode FROM e)
-SELECT user_id, episode::BIGINT AS episode, min(ts) AS first_seen, max(ts) AS last_seen, least(count(*), 1000000)::BIGINT AS seen_count,
+SELECT user_id, episode::BIGINT AS episode, min(ts) AS first_seen, max(ts) AS last_seen, count(*)::BIGINT AS seen_count,
   CASE WHEN count(*) > 1 THEN 'previously_seen' ELSE 'first_seen' END AS status FROM b GROUP BY user_id, episode""")
 def sender_episodes(spark, d):
     return ops.observation_episodes(table(spark, d, "events"), "user_id", "ts", 86_400)

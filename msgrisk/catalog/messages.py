@@ -68,21 +68,31 @@ def sender_contributions(spark, d):
 
 
 @query("nested_rollup", """
-WITH m AS (SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS s, CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 0 END AS r FROM lineitem WHERE l_linenumber <= 4)
-SELECT l_orderkey AS root_id, max(s) AS total_score, CASE max(r) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'safe' END AS risk_floor,
-  least(count(*), 20)::INTEGER AS images FROM m WHERE l_orderkey IN (SELECT l_orderkey FROM m WHERE l_linenumber = 1)
-  AND l_linenumber <= (SELECT min(n) FROM (SELECT l_linenumber AS n FROM m x WHERE x.l_orderkey = m.l_orderkey AND NOT EXISTS (SELECT 1 FROM m y WHERE y.l_orderkey = m.l_orderkey AND y.l_linenumber = x.l_linenumber + 1))) GROUP BY l_orderkey""")
+WITH RECURSIVE g AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_quantity::INTEGER % 12) AS s, max(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 0 END) AS f,
+  count(*) FILTER (WHERE l_linestatus = 'F')::BIGINT AS a, count(*) FILTER (WHERE l_discount > 0.05)::BIGINT AS b FROM lineitem GROUP BY 1, 2),
+c AS (SELECT *, CASE WHEN s > 8 THEN 3 WHEN s > 3 THEN 2 WHEN s > 0 THEN 1 ELSE 0 END AS own FROM g),
+last AS (SELECT k, min(n) AS n FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.k = x.k AND y.n = x.n + 1) GROUP BY k),
+fold AS (SELECT c.k, c.n, c.s, c.f, c.own, c.a, c.b FROM c JOIN last USING (k, n)
+  UNION ALL
+  SELECT c.k, c.n, greatest(c.s, x.s), greatest(c.f, CASE WHEN x.s > 15 THEN 4 WHEN x.f = 3 THEN 3 WHEN x.f = 2 THEN 2 WHEN x.s > 8 THEN 3 WHEN x.s > 3 THEN 2 ELSE x.own END), c.own, c.a + x.a, c.b + x.b
+  FROM fold x JOIN c ON c.k = x.k AND c.n = x.n - 1)
+SELECT k AS root_id, s AS total_score, ['safe', 'low', 'medium', 'high', 'critical'][f + 1] AS risk_floor,
+  ['safe', 'low', 'medium', 'high', 'critical'][1 + CASE WHEN s > 15 THEN 4 WHEN f = 3 THEN 3 WHEN f = 2 THEN 2 WHEN s > 8 THEN 3 WHEN s > 3 THEN 2 ELSE own END] AS risk_level,
+  a AS inline_images, b AS remote_images FROM fold WHERE n = 1""")
 def nested_rollup(spark, d):
     """Line 1 of an order is the outer message; each following line is attached to the one before."""
-    lines = table(spark, d, "lineitem").where("l_linenumber <= 4").groupBy("l_orderkey", "l_linenumber").agg(
-        F.max(F.col("l_quantity").cast("int")).alias("total_score"), F.max(F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "A", 2).otherwise(0)).alias("r"),
-        F.count(F.lit(1)).cast("int").alias("images"))
+    score, flag = F.col("l_quantity").cast("int") % 12, F.col("l_returnflag")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.max(score).alias("total_score"), F.max(F.when(flag == "R", 3).when(flag == "A", 2).otherwise(0)).alias("r"),
+        F.count_if(F.col("l_linestatus") == "F").alias("inline_images"), F.count_if(F.col("l_discount") > 0.05).alias("remote_images"))
+    s = F.col("total_score")
     messages = lines.select(
         F.col("l_orderkey").alias("root_id"),
         F.when(F.col("l_linenumber") > 1, F.array_repeat(F.lit(0), F.col("l_linenumber") - 1)).otherwise(F.array().cast("array<int>")).alias("msg_path"),
-        "total_score", F.when(F.col("r") == 3, "high").when(F.col("r") == 2, "medium").otherwise("safe").alias("risk_floor"), "images",
-        F.array().cast("array<string>").alias("warnings"))
-    return fuse.nested_rollup(messages).drop("warnings")
+        "total_score", F.when(F.col("r") == 3, "high").when(F.col("r") == 2, "medium").otherwise("safe").alias("risk_floor"),
+        F.when(s > 8, "high").when(s > 3, "medium").when(s > 0, "low").otherwise("safe").alias("risk_level"),
+        "inline_images", "remote_images", F.array().cast("array<string>").alias("warnings"))
+    return fuse.nested_rollup(messages, ["inline_images", "remote_images"]).drop("warnings")
 
 
 @query("best_mime_view", """

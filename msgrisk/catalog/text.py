@@ -152,7 +152,7 @@ r AS (SELECT item_id AS ord, CASE WHEN length(text) > 150 THEN 'long' ELSE 'shor
   regexp_replace(array_to_string(string_split(lower(text), ' ')[1:3], ' '), '[.,]+$', '') AS phrase FROM benchmark),
 h AS (SELECT doc_id, category, ord, phrase FROM m JOIN r ON contains(low, phrase)
   AND regexp_matches(low, '(^|[^{SQL_WORD}])' || regexp_escape(phrase) || '($|[^{SQL_WORD}])'))
-SELECT doc_id, category, list(phrase ORDER BY ord)[1:6] AS matched, count(*)::BIGINT AS count, least(count(*), 5)::BIGINT AS score FROM h GROUP BY doc_id, category""")
+SELECT doc_id, category, list(phrase ORDER BY ord) AS matched, count(*)::BIGINT AS count, least(count(*), 5)::BIGINT AS score FROM h GROUP BY doc_id, category""")
 def keyword_rules(spark, d):
     out = ops.keyword_rules(as_messages(spark, d), passage_openings(spark, d), "doc_id")
     return out.withColumn("count", F.col("count").cast("bigint")).withColumn("score", F.col("score").cast("bigint"))

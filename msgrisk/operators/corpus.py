@@ -256,7 +256,7 @@ def merge_campaign_groups(corpus: DataFrame, group: str = "group_id", order: str
     # Group names sort before family names, so a component is named by its least group.
     edges = pairs.select(F.concat(F.lit("1:"), "family").alias("u"), F.concat(F.lit("0:"), F.col(group)).alias("v"))
     parts = connected_groups(edges).where(F.col("node").startswith("0:"))
-    named = parts.select(F.substring("node", 3, 10_000).alias(group), F.substring("component", 3, 10_000).alias("component"))
+    named = parts.select(F.substr(F.col("node"), F.lit(3)).alias(group), F.substr(F.col("component"), F.lit(3)).alias("component"))
     every = corpus.select(group).distinct()
     return every.join(named, group, "left").select(group, F.coalesce("component", group).alias("component"))
 

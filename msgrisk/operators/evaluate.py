@@ -159,13 +159,16 @@ def compare_reports(baseline: DataFrame, candidate: DataFrame, keys: list[str])
 
 
 def regression_gate(comparison: DataFrame, baseline_config: dict | None = None, candidate_config: dict | None = None) -> DataFrame:
-    """One row: pass flag and how many findings of each kind block it."""
+    """One row: pass flag and how many findings of each kind block it.
+
+    The gate fails closed: without configurations that agree, or with nothing compared, it does not pass.
+    """
     configured = baseline_config is not None and baseline_config == candidate_config
     return comparison.agg(
         F.count(F.lit(1)).alias("checked"),
         F.count_if(F.col("status") == "regression").alias("regressions"),
         F.count_if(F.col("status").isin("missing_group", "incomparable_denominator")).alias("incomparable"),
-    ).withColumn("passed", (F.col("regressions") == 0) & (F.col("incomparable") == 0) & F.lit(configured))
+    ).withColumn("passed", (F.col("checked") > 0) & (F.col("regressions") == 0) & (F.col("incomparable") == 0) & F.lit(configured))
 
 
 def shadow_aggregate(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgrisk.functions.stats import level_of, level_rank
+from msgrisk.session import cut_lineage
 
 
 def message_rollup(findings: DataFrame, key: list[str]) -> DataFrame:
@@ -108,31 +109,45 @@ def abstain(df: DataFrame, warnings: str = "warnings", uncertain: str = "renderi
     })
 
 
-def nested_rollup(messages: DataFrame, max_depth: int = 3, cap: int = 20) -> DataFrame:
-    """Fold attached messages into their parents, deepest level first.
+IMAGE_COUNTS = ["inline_images", "remote_images", "unresolved_images"]
+#: Warnings about the images themselves: a parent states its own from the counts it inherits.
+IMAGE_WARNINGS = ["inline_images", "remote_images", "unresolved_images"]
 
-    ``messages(root_id, msg_path, total_score, risk_floor, images, warnings)``; the path of a
-    child extends its parent's by one position, so each level is one join on the parent path.
+
+def nested_rollup(messages: DataFrame, counts: list[str] | None = None) -> DataFrame:
+    """Fold attached messages into their parents, deepest level first, whatever the depth.
+
+    ``messages(root_id, msg_path, total_score, risk_floor, risk_level, <image counts>, warnings)``; the path of a child
+    extends its parent's by one position. A parent takes the highest score of its children; the verdict of a folded
+    child (unknown counts as safe) becomes a floor of the parent, image counts add up one by one, and warnings come
+    up with a prefix unless they are about images. The result has the verdict of each outer message.
     """
+    counts = IMAGE_COUNTS if counts is None else counts
     current = messages.withColumn("_depth", F.size("msg_path"))
-    for depth in range(max_depth, 0, -1):
+    deepest = current.agg(F.max("_depth")).first()[0] or 0
+    for depth in range(deepest, 0, -1):
         parent = F.slice("msg_path", F.lit(1), F.size("msg_path") - 1)
+        verdict = structured_verdict("total_score", "risk_floor", "risk_level")
         up = current.where(F.col("_depth") == depth).groupBy("root_id", parent.alias("msg_path")).agg(
             F.max("total_score").alias("_score"),
-            F.max(level_rank("risk_floor")).alias("_rank"),
-            F.sum("images").alias("_images"),
+            F.max(level_rank(verdict)).alias("_rank"),
+            *[F.sum(c).alias(f"_{c}") for c in counts],
             F.array_distinct(F.flatten(F.collect_list("warnings"))).alias("_warn"),
         )
-        joined = current.join(up, ["root_id", "msg_path"], "left")
-        attached = F.transform(F.coalesce("_warn", F.array().cast("array<string>")), lambda w: F.concat(F.lit("attached:"), w))
+        joined = current.where(F.col("_depth") < depth).join(up, ["root_id", "msg_path"], "left")
+        told = F.filter(F.coalesce("_warn", F.array().cast("array<string>")), lambda w: ~w.isin(IMAGE_WARNINGS))
+        attached = F.transform(told, lambda w: F.concat(F.lit("attached:"), w))
         current = joined.select(
             "root_id", "msg_path", "_depth",
             F.greatest("total_score", F.coalesce("_score", F.lit(0))).alias("total_score"),
-            level_of(F.greatest(level_rank("risk_floor"), F.coalesce("_rank", F.lit(0)))).alias("risk_floor"),
-            F.least(F.col("images") + F.coalesce("_images", F.lit(0)), F.lit(cap)).alias("images"),
+            level_of(F.greatest(level_rank("risk_floor"), F.coalesce("_rank", F.lit(0)))).alias("risk_floor"), "risk_level",
+            *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in counts],
             F.array_distinct(F.concat("warnings", attached)).alias("warnings"),
         )
-    return current.where("_depth = 0").drop("_depth", "msg_path")
+        if depth % 8 == 1:
+            current = cut_lineage(current)  # long chains of levels stay cheap to plan
+    roots = current.where("_depth = 0").drop("_depth", "msg_path")
+    return roots.withColumn("risk_level", structured_verdict("total_score", "risk_floor", "risk_level"))
 
 
 def merge_visual_findings(base: DataFrame, observations: DataFrame, key: list[str]) -> DataFrame:

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from msgrisk.operators.scale import ordered_within_key, range_bucket, range_cuts
 
-MAX_SEEN = 1_000_000
-
 
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -40,7 +38,7 @@ def observation_episodes(events: DataFrame, identity: str, ts: str, ttl_seconds:
     return numbered.groupBy(identity, "episode").agg(
         F.min("lo").alias("first_seen"),
         F.max("hi").alias("last_seen"),
-        F.least(F.sum("n"), F.lit(MAX_SEEN)).alias("seen_count"),
+        F.sum("n").alias("seen_count"),
     ).withColumn("status", F.when(F.col("seen_count") > 1, "previously_seen").otherwise("first_seen"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from msgrisk.functions import hosts as hx
 from msgrisk.functions import text as tx
+from msgrisk.functions import unicode as uni
 from msgrisk.functions.mime import message_entities
 from msgrisk.session import materialize
 
@@ -36,21 +37,35 @@ def ingest_eml(raw: DataFrame, root: str = "path", content: str = "content") ->
     }
 
 
+def with_unicode(rows: DataFrame, needed: Column, change) -> DataFrame:
+    """Apply ``change`` to the few rows that need Unicode work; the others never leave the JVM."""
+    needed = F.coalesce(needed, F.lit(False))
+    return rows.where(~needed).unionByName(change(rows.where(needed)))
+
+
 def mailboxes(headers: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """One row per mailbox of an address header, with its domain."""
-    return headers.select(*key, "name", "ord", F.posexplode("mailboxes").alias("box_ord", "m")).select(
+    """One row per mailbox of an address header, with its domain in ASCII form (empty if it has none)."""
+    boxes = headers.select(*key, "name", "ord", F.posexplode("mailboxes").alias("box_ord", "m")).select(
         *key, "name", "ord", "box_ord", "m.display", F.lower(F.trim("m.address")).alias("address"),
         F.regexp_replace(F.lower(F.regexp_extract("m.address", r"@([^@]*)$", 1)), r"\.+$", "").alias("domain"),
     )
+    foreign = F.col("domain").rlike(r"[^\x00-\x7f]")
+    return with_unicode(boxes, foreign, lambda rows: rows.withColumn("domain", uni.encode_idna("domain")))
 
 
 def brand_display_identity(boxes: DataFrame, key: list[str]) -> DataFrame:
     """Points for a protected brand shown from, or imitated by, an unrelated domain."""
-    senders = boxes.where("name = 'from'")
-    shown = F.regexp_replace(tx.latin_skeleton("display"), r"\p{Cf}", "")
-    skeleton = tx.latin_skeleton("domain")
+    senders = boxes.where("name = 'from'").withColumns({
+        "_shown": tx.latin_skeleton("display"), "_skeleton": tx.latin_skeleton("domain"), "_plain": tx.casefold("domain"),
+    })
+    foreign = uni.needs_unicode(F.col("domain")) | F.col("display").rlike(r"[^\x00-\x7f]")
+    senders = with_unicode(senders, foreign, lambda rows: rows.withColumn("_plain", uni.decode_idna("domain")).withColumns({
+        "_shown": uni.confusable_skeleton(F.col("display")), "_skeleton": uni.confusable_skeleton(F.col("_plain")),
+    }))
+    shown = F.regexp_replace("_shown", r"\p{Cf}", "")
+    skeleton = F.col("_skeleton")
     label = F.substring_index(skeleton, ".", 1)
-    changed = skeleton != tx.casefold("domain")
+    changed = skeleton != F.col("_plain")
     points = []
     for brand in hx.PROTECTED_BRANDS:
         stranger = ~hx.canonical_for("domain", brand)
@@ -82,33 +97,59 @@ def recipients(boxes: DataFrame, key: list[str]) -> DataFrame:
 FAILED = ["fail", "softfail", "permerror", "temperror"]
 
 
+def _auth_clauses(value: Column) -> Column:
+    """One walk over the characters: clauses outside strings and (nested) comments, and whether all of those end."""
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit("").alias("text"),
+    )
+
+    def step(s: Column, c: Column) -> Column:
+        comment, quoted = s["depth"] > 0, s["quoted"]
+        skips = ~s["escaped"] & (c == "\\") & (comment | quoted)
+        opens = ~s["escaped"] & ~quoted & (c == "(")
+        closes = ~s["escaped"] & comment & (c == ")")
+        quote = ~s["escaped"] & ~comment & (c == '"')
+        shown = (
+            F.when(comment, "").when(opens, " ")
+            .when((c == ";") & (quoted | s["escaped"]), " ").when(c == ";", "\n").when(F.ascii(c) <= 32, " ").otherwise(c)
+        )
+        return F.struct(
+            (s["depth"] + opens.cast("int") - closes.cast("int")).alias("depth"), (quoted != quote).alias("quoted"),
+            skips.alias("escaped"), F.concat(s["text"], shown).alias("text"),
+        )
+
+    def finish(s: Column) -> Column:
+        clauses = F.transform(F.split(s["text"], "\n"), lambda c: F.trim(F.regexp_replace(c, " +", " ")))
+        return F.struct(clauses.alias("clauses"), ((s["depth"] == 0) & ~s["quoted"] & ~s["escaped"]).alias("closed"))
+
+    return F.aggregate(F.split(value, ""), start, step, finish)
+
+
 def parse_auth_results(value: str = "value") -> Column:
     """Struct ``(authserv_id, results, complete)``; text in comments or quotes never counts.
 
-    Comments are removed innermost first, a few levels deep; what stays unbalanced is
-    incomplete, and incomplete claims cannot confer a pass.
+    The first clause is the server's name and never a claim; of several claims for a mechanism the last counts.
+    Incomplete claims cannot confer a pass.
     """
-    text = F.regexp_replace(F.col(value), r"\\.", "_")
-    # The leading server name may be quoted; any later quoted string is opaque.
-    quoted = F.regexp_replace(text, r'(?<!^)"[^"]*"', '"q"')
-    for _ in range(6):
-        quoted = F.regexp_replace(quoted, r"\([^()]*\)", " ")
-
-    def read(clean: Column) -> Column:
-        clauses = F.transform(F.split(clean, ";"), lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))
-        first = F.lower(F.get(clauses, 0))
-        identity = F.regexp_extract(first, r'^"?([^\s";]+)"?(?: \d+)?$', 1)
-        pattern = r"^(spf|dkim|dmarc)(?: ?/ ?\d+)? ?= ?([a-z]+)(?: |$)"
-        claims = F.filter(F.transform(clauses, F.lower), lambda c: c.rlike(pattern))
-        complete = (identity != "") & ~clean.rlike(r"[()]") & ((F.length(clean) - F.length(F.replace(clean, F.lit('"'), F.lit("")))) % 2 == 0)
+    pattern = r"^(spf|dkim|dmarc)(?: ?/ ?\d+)? ?= ?([a-z]+)(?: |$)"
+
+    def read(walked: Column) -> Column:
+        clauses = walked["clauses"]
+        identity = F.regexp_extract(F.lower(F.get(clauses, 0)), r'^"?([^\s";]+)"?(?: \d+)?$', 1)
+        later = F.slice(clauses, F.lit(2), F.greatest(F.size(clauses) - 1, F.lit(0)))
+        claims = F.filter(F.transform(later, F.lower), lambda c: c.rlike(pattern))
+        complete = (identity != "") & walked["closed"]
         pairs = F.transform(claims, lambda c: F.struct(F.regexp_extract(c, pattern, 1).alias("key"), F.regexp_extract(c, pattern, 2).alias("value")))
-        usable = F.filter(pairs, lambda p: complete | (p["value"] != "pass"))
-        last = lambda m: F.element_at(F.filter(usable, lambda p: p["key"] == m), -1)["value"]
-        safe = lambda m: F.when(F.exists(usable, lambda p: p["key"] == m), last(m))
-        results = F.struct(*[safe(m).alias(m) for m in ("spf", "dkim", "dmarc")])
+
+        def result(mechanism: str) -> Column:
+            own = F.filter(pairs, lambda p: p["key"] == mechanism)
+            value = F.when(F.size(own) > 0, F.element_at(own, -1)["value"])
+            return F.when(complete | (value != "pass"), value).alias(mechanism)
+
+        results = F.struct(*[result(m) for m in ("spf", "dkim", "dmarc")])
         return F.struct(identity.alias("authserv_id"), results.alias("results"), complete.alias("complete"))
 
-    return tx.let(quoted, read)
+    return tx.let(_auth_clauses(F.col(value)), read)
 
 
 def auth_verdict(headers: DataFrame, key: list[str], trusted_ids: list[str]) -> DataFrame:
@@ -118,7 +159,8 @@ def auth_verdict(headers: DataFrame, key: list[str], trusted_ids: list[str]) ->
     trusted = F.col("a.authserv_id").isin([t.strip().lower() for t in trusted_ids]) & claims
     per = parsed.groupBy(*key).agg(
         F.min_by(F.when(trusted, F.col("a.results")), F.when(trusted, F.col("ord"))).alias("r"),
-        F.count_if(claims & ~trusted).alias("untrusted_claims"),
+        # Claims behind the first trusted header are shown, but not believed.
+        (F.count_if(claims) - F.max(trusted.cast("int"))).alias("untrusted_claims"),
         F.count_if(~F.col("a.complete")).alias("incomplete"),
     )
     failed = lambda m: F.coalesce(F.col(f"r.{m}").isin(FAILED), F.lit(False))

@@ -44,8 +44,14 @@ def filter_cases(cases: DataFrame, status=None, risk=None, verdict=None, reason=
 
 
 def page(cases: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
-    """Newest first; a page holds at most one hundred cases."""
-    return cases.orderBy(F.desc("created_at"), F.desc("id")).offset(max(0, offset)).limit(min(100, max(1, limit)))
+    """Newest first; ``limit`` cases after the first ``offset``. Deep pages are cheaper by ``page_after``."""
+    return cases.orderBy(F.desc("created_at"), F.desc("id")).offset(max(0, offset)).limit(max(1, limit))
+
+
+def page_after(cases: DataFrame, created_at, case_id, limit: int = 25) -> DataFrame:
+    """The page behind the case ``(created_at, case_id)``: only its own rows are sorted out, whatever its depth."""
+    last = F.struct(F.lit(created_at).cast("timestamp").alias("t"), F.lit(case_id).alias("i"))
+    return page(cases.where(F.struct(F.col("created_at").cast("timestamp").alias("t"), F.col("id").alias("i")) < last), limit)
 
 
 def merge_case_queues(limit: int = 25, offset: int = 0, **queues: DataFrame) -> DataFrame:
@@ -295,6 +301,6 @@ def message_preview(parts: DataFrame, key: list[str], order: str, budget: int =
 
     masked = parts.select(*key, order, tx.mask_inline_data("text").alias("text"))
     # Parts past the budget are empty and are not gathered, so a preview is a bounded row.
-    cut = bounded_text(masked, key[0], order, "text", budget)
+    cut = bounded_text(masked.withColumn("_message", F.struct(*key)), "_message", order, "text", budget).drop("_message")
     joined = cut.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct(order, "text")))).alias("_p"), F.max("truncated").alias("truncated"))
     return joined.select(*key, F.array_join(F.transform("_p", lambda x: x["text"]), "\n\n").alias("preview"), "truncated")

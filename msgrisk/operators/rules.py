@@ -35,17 +35,17 @@ def _score(matched: DataFrame, key: str) -> DataFrame:
     return matched.select(
         key,
         "category",
-        F.transform(F.slice(F.array_sort("hits"), 1, 6), lambda h: h["phrase"]).alias("matched"),
+        F.transform(F.array_sort("hits"), lambda h: h["phrase"]).alias("matched"),
         F.size("hits").alias("count"),
         F.least(F.size("hits"), F.lit(5)).alias("score"),
     )
 
 
 def keyword_rules(messages: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Matched phrases per message and category: first six in rule order, count, capped score.
+    """Matched phrases per message and category in rule order, count, capped score.
 
     Up to ``UNROLLED_RULES`` phrases are tested inside the projection, without any shuffle.
-    Larger tables are matched as word n-grams by an equi-join.
+    Larger tables are matched as word n-grams by an equi-join. Both find the same phrases.
     """
     few = rules.select("ord", "category", "phrase").limit(UNROLLED_RULES + 1).collect()
     if len(few) <= UNROLLED_RULES:
@@ -95,7 +95,8 @@ def _joined(messages: DataFrame, rules: DataFrame, key: str, text: str) -> DataF
     """N-gram form. A phrase with a word character at both ends matches exactly when the
     message has the same run of words and separators, so equality on runs is complete."""
     rules = rules.select("ord", "category", "phrase", F.lower("phrase").alias("gram"))
-    word_edges = F.col("gram").rlike(rf"^[{WORD}]") & F.col("gram").rlike(rf"[{WORD}]$")
+    # An underscore at an edge asks for no boundary, so such a phrase may begin or end inside a word.
+    word_edges = F.col("gram").rlike(rf"^(?!_)[{WORD}]") & F.col("gram").rlike(rf"(?!_)[{WORD}]$")
     lengths = [r[0] for r in rules.where(word_edges).select(tx.word_count("gram")).distinct().collect()]
     pieces = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"([{WORD}]+|[^{WORD}]+)"), 1)
     split = messages.select(key, pieces.alias("_pieces")).withColumn(
@@ -113,12 +114,9 @@ def _joined(messages: DataFrame, rules: DataFrame, key: str, text: str) -> DataF
     grams = split.select(key, F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in sorted(lengths)])))).alias("gram"))
     plain = rules.where(word_edges)
     matched = grams.join(small_or_none(plain) or plain, "gram").select(key, "category", "ord", "phrase")
-    edged = rules.where(~word_edges).limit(UNROLLED_RULES + 1).collect()
-    if len(edged) > UNROLLED_RULES:
-        raise ValueError(f"more than {UNROLLED_RULES} phrases begin or end with punctuation")
-    if edged:
-        extra = _unrolled_hits(messages, edged, key, text)
-        matched = matched.unionByName(extra)
+    edged = rules.where(~word_edges).orderBy("ord").collect()
+    for at in range(0, len(edged), UNROLLED_RULES):
+        matched = matched.unionByName(_unrolled_hits(messages, edged[at : at + UNROLLED_RULES], key, text))
     grouped = matched.groupBy(key, "category").agg(F.collect_list(F.struct("ord", "phrase")).alias("hits"))
     return _score(grouped, key)
 

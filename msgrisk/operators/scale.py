@@ -12,20 +12,20 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
+HOT_KEYS = 20_000
 HOT_ROWS = 100_000
-SALTS = 64
+NULL_SALTS = 4096
 
 
 def hot_keys(df: DataFrame, keys: list[str], max_keys: int = HOT_KEYS, min_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys, at most ``max_keys``.
+    """The heaviest keys, at most ``max_keys``, with one salt for every ``min_rows`` of their rows.
 
-    Any key left out holds at most one row in ``max_keys`` (or fewer than ``min_rows``),
-    so it is safe to hash; the result is always small enough to broadcast.
+    A key left out has fewer than ``min_rows`` rows or less than one row in ``max_keys``; the result is
+    always small enough to broadcast.
     """
     present = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     counts = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_rows)
-    return counts.orderBy(F.desc("_rows"), *keys).limit(max_keys).select(*keys, F.lit(True).alias("_hot"))
+    return counts.orderBy(F.desc("_rows"), *keys).limit(max_keys).select(*keys, F.ceil(F.col("_rows") / F.lit(min_rows)).cast("int").alias("_salts"))
 
 
 def salted_join(
@@ -34,26 +34,25 @@ def salted_join(
     keys: list[str],
     how: str,
     spread_by: list[str],
-    salts: int = SALTS,
     **hot,
 ) -> DataFrame:
     """Join a possibly skewed ``left`` to a ``right`` that is unique per key.
 
     Heavy keys (and null keys, which never match) of the left side are spread by a hash of
-    ``spread_by``; only the right rows of heavy keys are repeated per salt.
+    ``spread_by`` over as many salts as their rows ask for; only the right rows of heavy keys
+    are repeated per salt.
     """
     heavy = hot_keys(left.select(*keys), keys, **hot)
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    salts = F.when(no_key, F.lit(NULL_SALTS)).otherwise(F.coalesce(F.col("_salts"), F.lit(1)))
     salted_left = left.join(F.broadcast(heavy), keys, "left").withColumn(
-        "_salt", F.when(F.coalesce(F.col("_hot"), F.lit(False)) | no_key, spread).otherwise(F.lit(0))
-    ).drop("_hot")
+        "_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")
+    ).drop("_salts")
     salted_right = right.join(F.broadcast(heavy), keys, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    ).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    ).drop("_salts")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from msgrisk.functions import hosts as hx
 from msgrisk.functions import text as tx
+from msgrisk.functions import unicode as uni
 from msgrisk.functions import wordlists as wl
 from msgrisk.functions.hashing import DOT_ALIAS_DOMAINS, PLUS_TAG_DOMAINS, canonical_sender
 from msgrisk.operators import links
+from msgrisk.operators.mail import with_unicode
 
 
 def _found(text: Column, words) -> Column:
@@ -114,7 +116,7 @@ def mailbox_randomness(
     joined = F.regexp_replace("_tagless", "[._-]", "")
     glued = F.exists(
         first,
-        lambda f: (joined.startswith(f) & F.array_contains(last, F.substring(joined, F.length(f) + 1, F.lit(400))))
+        lambda f: (joined.startswith(f) & F.array_contains(last, F.substr(joined, F.length(f) + 1)))
         | (joined.endswith(f) & F.array_contains(last, F.substring(joined, F.lit(1), F.length(joined) - F.length(f)))),
     )
     letters = F.regexp_replace(local, r"\P{L}", "")
@@ -154,7 +156,7 @@ def fabricated_business_domain(label: Column) -> Column:
 
     def compound(term: Column) -> Column:
         at = F.instr(label, term)
-        prefix, rest = F.substring(label, F.lit(1), at - 1), F.substring(label, at + F.length(term), F.lit(400))
+        prefix, rest = F.substring(label, F.lit(1), at - 1), F.substr(label, at + F.length(term))
         short = (at == 1) | ((at <= 5) & prefix.rlike(r"^\p{L}+$"))
         return (at > 0) & short & F.array_contains(tx.literals(wl.BUSINESS_SUFFIXES), rest)
 
@@ -294,8 +296,11 @@ def feature_breakdown(features: DataFrame, key: list[str], top: int = 10) -> Dat
 
 
 def from_addresses(mailboxes: DataFrame, key: list[str], order: str, address: str = "address") -> DataFrame:
-    """Unique plausible From mailboxes per message, in order of appearance."""
-    ok = mailboxes.where(hx.has_known_shape(address))
+    """Unique plausible From mailboxes per message, in order of appearance; foreign domains in their ASCII form."""
+    foreign = F.regexp_extract(address, r"@([^@]*)$", 1).rlike(r"[^\x00-\x7f]")
+    local, domain = F.regexp_extract(address, r"^(.*)@[^@]*$", 1), F.lower(F.trim(F.regexp_extract(address, r"@([^@]*)$", 1)))
+    boxes = with_unicode(mailboxes, foreign, lambda rows: rows.withColumn(address, F.concat(local, F.lit("@"), uni.encode_idna(domain))))
+    ok = boxes.where(hx.has_known_shape(address))
     return ok.groupBy(*key, F.lower(F.trim(address)).alias("_id")).agg(
         F.min(order).alias(order), F.min_by(address, order).alias(address)
     ).drop("_id")

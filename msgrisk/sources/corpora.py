@@ -1,7 +1,7 @@
 """Corpus files in their published layouts, read with explicit schemas.
 
-Every reader yields ``text, label, group_id, source, row_ord``; ``row_ord`` is derived from
-the file name and the row's own values, so it does not depend on how the file was split.
+Every reader yields ``text, label, group_id, source, row_ord``; ``row_ord`` is unique and follows
+the order of files by name and of rows inside a file, which one task reads from front to back.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ CONTROL_RECORDS = r"(?i)FOLDER INTERNAL DATA|MAILER-DAEMON|DELIVERY FAILURE"
 
 def _read(spark: SparkSession, path: str, **options) -> DataFrame:
     """All columns as text; types are applied by the caller with failures as null."""
-    return spark.read.options(**{**CSV, **options}).csv(path)
+    rows = spark.read.options(**{**CSV, **options}).csv(path)
+    position = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+    return rows.withColumn("_row_ord", F.concat_ws("\x1f", F.col("_metadata.file_path"), position))
 
 
 def _finish(rows: DataFrame, source: str, text: Column, label: Column, group: Column, *more: Column) -> DataFrame:
-    key = F.concat_ws("\x1f", F.lit(source), text, label.cast("string"))
     return rows.select(text.alias("text"), label.alias("label"), group.alias("group_id"), F.lit(source).alias("source"),
-                       F.sha2(key, 256).alias("row_ord"), *more)
+                       F.concat_ws("\x1f", F.lit(source), "_row_ord").alias("row_ord"), *more)
 
 
 def _subject_body(subject: str, body: str) -> Column:
@@ -95,7 +96,7 @@ def verify_source_digests(spark: SparkSession, folder: str, expected: DataFrame)
 
 def scan_feature_table(spark: SparkSession, path: str, features: list[str], label: str = "result") -> DataFrame:
     """Numeric feature columns by lower-cased name; unreadable values are 0, rows without a label drop out."""
-    rows = _read(spark, path)
+    rows = _read(spark, path).drop("_row_ord")
     rows = rows.toDF(*[c.strip().lower() for c in rows.columns])
     number = lambda c: F.expr(f"CAST(try_cast(trim(`{c}`) AS DOUBLE) AS INT)")
     present = [f for f in features if f in rows.columns]

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from msgrisk.functions.hashing import canonical_sender, hmac_sha256
 from msgrisk.operators.evaluate import count_columns, with_rates
-from msgrisk.operators.history import MAX_SEEN, window_report
+from msgrisk.operators.history import window_report
 
 HISTORY = "identity string, status string, first_seen timestamp, last_seen timestamp, seen_count long"
 DECISION = "key string, ts timestamp, event_id long, hits long, allowed boolean"
@@ -53,7 +53,7 @@ class _History(StatefulProcessor):
                 current, status = (t, t, 1), "first_seen"
             else:
                 current, status = (min(current[0], t), max(current[1], t), current[2] + 1), "previously_seen"
-            out.append((key[0], status, _stamp(current[0]), _stamp(current[1]), min(current[2], MAX_SEEN)))
+            out.append((key[0], status, _stamp(current[0]), _stamp(current[1]), current[2]))
         if current is not None:
             self.state.update(current)
             self.handle.registerTimer(current[1] // 1000 + self.ttl // 1000)
@@ -124,60 +124,86 @@ def stream_anchored_limiter(events: DataFrame, window_seconds: int, limit: int)
 
 
 class _Ledger(StatefulProcessor):
-    """Daily budget per scope with receipts that live one day."""
+    """Budgets of a scope by calendar day, and receipts that live for 24 hours.
+
+    A call is booked on the day of its own time, so late calls neither reset nor use up another day. Days and receipts
+    that no call within the allowed lateness can touch are forgotten; a call behind that is answered ``too_late``.
+    """
 
     DAY = 86_400_000_000
 
-    def __init__(self, daily_limit: int):
-        self.limit = daily_limit
+    def __init__(self, daily_limit: int, late_days: int):
+        self.limit, self.late = daily_limit, late_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.budget = handle.getValueState("budget", "day long, used long")
-        self.receipts = handle.getMapState("receipts", "request_id string", "expires long, finished boolean")
+        self.newest = handle.getValueState("newest", "ts long")
+        self.spent = handle.getMapState("spent", "day long", "n long")
+        self.receipts = handle.getMapState("receipts", "request_id string", "day long, expires long, finished boolean")
+
+    def _used(self, day: int) -> int:
+        return self.spent.getValue((day,))[0] if self.spent.containsKey((day,)) else 0
+
+    def _book(self, day: int, change: int) -> None:
+        self.spent.updateValue((day,), (max(0, self._used(day) + change),))
+
+    def _reserve(self, request: str, t: int, receipt) -> str:
+        if receipt:
+            return "cached" if receipt[2] else "pending"
+        day = t // self.DAY
+        if self._used(day) >= self.limit:
+            return "quota_exhausted"
+        self._book(day, 1)
+        self.receipts.updateValue((request,), (day, t + self.DAY, False))
+        return "reserved"
+
+    def _finish(self, request: str, t: int, receipt) -> str:
+        if not receipt:
+            return "lost"
+        self.receipts.updateValue((request,), (receipt[0], receipt[1], True))
+        return "saved"
+
+    def _release(self, request: str, t: int, receipt) -> str:
+        if receipt and receipt[2]:
+            return "lost"
+        if receipt:
+            self._book(receipt[0], -1)
+            self.receipts.removeKey((request,))
+        return "released"
+
+    def _forget(self, newest: int) -> None:
+        oldest = newest // self.DAY - self.late
+        for key in [k for k, _ in self.spent.iterator() if k[0] < oldest]:
+            self.spent.removeKey(key)
+        for key in [k for k, v in self.receipts.iterator() if v[1] <= oldest * self.DAY]:
+            self.receipts.removeKey(key)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         calls = sorted((_micros(t), i, r, o) for batch in rows for i, (t, r, o) in enumerate(zip(batch["ts"], batch["request_id"], batch["op"])))
-        day, used = self.budget.get() if self.budget.exists() else (-1, 0)
+        newest = self.newest.get()[0] if self.newest.exists() else calls[0][0]
+        answers = {"reserve": self._reserve, "finish": self._finish, "release": self._release}
         out = []
         for t, _, request, op in calls:
-            today = t // self.DAY
-            if today != day:
-                day, used = today, 0
-                stale = [k[0] for k, v in self.receipts.iterator() if v[0] <= t]
-                for old in stale:
-                    self.receipts.removeKey((old,))
+            if t > newest:
+                if t // self.DAY != newest // self.DAY:
+                    self._forget(t)
+                newest = t
+            day = t // self.DAY
+            if day < newest // self.DAY - self.late:
+                out.append((key[0], request, _stamp(t), op, "too_late", 0))
+                continue
             receipt = self.receipts.getValue((request,)) if self.receipts.containsKey((request,)) else None
-            live = receipt is not None and receipt[0] > t
-            if op == "reserve":
-                if live:
-                    status = "cached" if receipt[1] else "pending"
-                elif used >= self.limit:
-                    status = "quota_exhausted"
-                else:
-                    used, status = used + 1, "reserved"
-                    self.receipts.updateValue((request,), (t + self.DAY, False))
-            elif op == "finish":
-                status = "saved" if live else "lost"
-                if live and not receipt[1]:
-                    self.receipts.updateValue((request,), (receipt[0], True))
-            elif receipt is None:
-                status = "released"
-            elif receipt[1]:
-                status = "lost"
-            else:
-                used, status = used - ((receipt[0] - self.DAY) // self.DAY == today and used > 0), "released"
-                self.receipts.removeKey((request,))
-            out.append((key[0], request, _stamp(t), op, status, int(used)))
-        self.budget.update((day, int(used)))
+            status = answers[op](request, t, receipt if receipt and receipt[1] > t else None)
+            out.append((key[0], request, _stamp(t), op, status, int(self._used(day))))
+        self.newest.update((newest,))
         yield pd.DataFrame(out, columns=["scope", "request_id", "ts", "op", "status", "used"])
 
     def close(self) -> None:
         pass
 
 
-def stream_quota_ledger(attempts: DataFrame, daily_limit: int) -> DataFrame:
-    """``attempts(scope, request_id, ts, op)`` with op reserve, finish or release."""
-    return attempts.groupBy("scope").transformWithStateInPandas(_Ledger(daily_limit), LEDGER, outputMode="append", timeMode="None")
+def stream_quota_ledger(attempts: DataFrame, daily_limit: int, late_days: int = 2) -> DataFrame:
+    """``attempts(scope, request_id, ts, op)`` with op reserve, finish or release; calls may be ``late_days`` late."""
+    return attempts.groupBy("scope").transformWithStateInPandas(_Ledger(daily_limit, late_days), LEDGER, outputMode="append", timeMode="None")
 
 
 def stream_case_state(events: DataFrame, case: str, order: str, fields: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from msgrisk.operators import fuse, mail, posture
+from msgrisk.operators import evaluate, fuse, mail, posture, rules, sender
 
 NESTED = b"""From: A <a@x.example>\r\nTo: b@y.example\r\nSubject: outer\r\nSubject: again\r\nMIME-Version: 1.0
 Content-Type: multipart/mixed; boundary="m"
@@ -111,3 +111,70 @@ def test_mail_service(spark):
 def test_public_addresses(spark):
     df = spark.createDataFrame([(["8.8.8.8", "10.0.0.1", "8.8.8.8", "2606:4700::1", "2001:db8::1", "fe80::1", "192.168.1.1", "bad"],)], "a array<string>")
     assert df.select(posture.public_address_filter("a")).first()[0] == ["8.8.8.8", "2606:4700::1"]
+
+
+def _boxes(spark, rows):
+    headers = [("r", n, i, [(d, a)]) for i, (n, d, a) in enumerate(rows)]
+    return mail.mailboxes(spark.createDataFrame(headers, "root_id string, name string, ord int, mailboxes array<struct<display: string, address: string>>"), ["root_id"])
+
+
+def test_foreign_domains(spark):
+    same = _boxes(spark, [("from", "", "a@bücher.example"), ("reply-to", "", "a@xn--bcher-kva.example")])
+    assert {r.domain for r in same.collect()} == {"xn--bcher-kva.example"}
+    assert mail.routing_mismatch(same, ["root_id"]).count() == 0
+    assert mail.routing_mismatch(_boxes(spark, [("from", "", "a@bücher.example"), ("reply-to", "", "a@other.example")]), ["root_id"]).count() == 1
+    for display, address in (("", "x@xn--pypal-4ve.com"), ("ＰａｙＰａｌ Service", "x@shop.example"), ("PayPal", "x@shop.example")):
+        assert mail.brand_display_identity(_boxes(spark, [("from", display, address)]), ["root_id"]).count() == 1
+    assert mail.brand_display_identity(_boxes(spark, [("from", "Bücher", "x@bücher.example")]), ["root_id"]).count() == 0
+    found = sender.from_addresses(_boxes(spark, [("from", "", "a@bücher.example"), ("from", "", "A@xn--bcher-kva.example")]), ["root_id"], "ord").collect()
+    assert [r.address for r in found] == ["a@xn--bcher-kva.example"]
+
+
+@pytest.mark.parametrize("value,expected", [
+    ("dmarc=pass", (None, None, None)),
+    ("mx.a; spf=pass (((((((((deep))))))))) ; dkim=fail", ("pass", "fail", None)),
+    ("mx\\.a; spf=pass", ("pass", None, None)),
+    ("mx.a; spf=fail; spf=pass", ("pass", None, None)),
+    ("mx.a; spf=pass; dkim=fail (open", (None, "fail", None)),
+])
+def test_auth_clauses(spark, value, expected):
+    a = spark.createDataFrame([(value,)], "value string").select(mail.parse_auth_results().alias("a")).first().a
+    assert (a.results.spf, a.results.dkim, a.results.dmarc) == expected
+
+
+def test_later_trusted_claims(spark):
+    rows = [("r", "authentication-results", i, v) for i, v in enumerate(["mx.a; dmarc=fail", "mx.a; dmarc=pass", "other; spf=pass"])]
+    headers = spark.createDataFrame(rows, "root_id string, name string, ord int, value string")
+    r = mail.auth_verdict(headers, ["root_id"], ["mx.a"]).first()
+    assert (r.verdict, r.untrusted_claims) == ("failed", 2)
+
+
+def test_nested_rollup(spark):
+    schema = "root_id int, msg_path array<int>, total_score int, risk_floor string, risk_level string, inline_images int, remote_images int, unresolved_images int, warnings array<string>"
+    deep = [[0] * k for k in range(12)]
+    rows = [(1, p, 20 if len(p) == 11 else 0, "safe", "safe", 1, 3, 0, ["remote_images", "odd"] if len(p) == 11 else []) for p in deep]
+    rows += [(2, [], 0, "safe", "safe", 0, 0, 0, []), (2, [0], 9, "safe", "safe", 0, 0, 0, []), (3, [], 1, "safe", "low", 0, 0, 0, []), (3, [0], 0, "safe", "unknown", 0, 0, 2, [])]
+    got = {r.root_id: r for r in fuse.nested_rollup(spark.createDataFrame(rows, schema)).collect()}
+    assert (got[1].risk_level, got[1].total_score, got[1].inline_images, got[1].remote_images) == ("critical", 20, 12, 36)
+    assert got[1].warnings == ["attached:" * 11 + "odd"]
+    assert (got[2].risk_floor, got[2].risk_level) == ("high", "high")
+    assert (got[3].risk_floor, got[3].risk_level, got[3].unresolved_images) == ("safe", "low", 2)
+
+
+def test_gate_fails_closed(spark):
+    empty = spark.createDataFrame([], "metric string, status string")
+    assert evaluate.regression_gate(empty, {}, {}).first().passed is False
+    fine = spark.createDataFrame([("recall", "ok")], "metric string, status string")
+    assert evaluate.regression_gate(fine, {}, {}).first().passed is True
+    assert evaluate.regression_gate(fine, {}, None).first().passed is False
+
+
+def test_rules_agree_in_both_forms(spark, monkeypatch):
+    texts = ["x_foo bar y", "foo bar", "a!b? c", "win cash now", "winner cash", "ends with bar_", "foo  bar"]
+    messages = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    phrases = ["_foo bar", "foo bar", "!b?", "cash", "win", "bar_", "now", "a", "c", "y"]
+    table = spark.createDataFrame([(i, "k", "low", p) for i, p in enumerate(phrases)], "ord bigint, category string, level string, phrase string")
+    one = sorted((r.id, tuple(r.matched), r["count"]) for r in rules.keyword_rules(messages, table, "id").collect())
+    monkeypatch.setattr(rules, "UNROLLED_RULES", 2)
+    assert one == sorted((r.id, tuple(r.matched), r["count"]) for r in rules.keyword_rules(messages, table, "id").collect())
+    assert (0, ("_foo bar", "y"), 2) in one

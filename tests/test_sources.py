@@ -108,3 +108,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "cohort")).count() == 2
     evaluation.write_registry(spark.createDataFrame([("b.x",), ("a.x",)], "domain string"), str(tmp_path / "reg"), "2024.01.01", "made here")
     assert spark.read.json(str(tmp_path / "reg")).where("version = '2024.01.01'").count() == 2
+
+
+def test_equal_rows_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"","Email Text","Email Type"\n' + "".join(f'{i},"same text here","Safe Email"\n' for i in range(3)) + '9,"other text","Safe Email"\n')
+    rows = corpora.scan_typed_csv(spark, str(tmp_path / "a.csv"), "s")
+    assert rows.select("row_ord").distinct().count() == 4
+    assert [r.text for r in rows.orderBy("row_ord").collect()] == ["same text here"] * 3 + ["other text"]
+    assert sorted((r.text, r.copies) for r in corpus.dedup_families(rows).collect()) == [("other text", 1), ("same text here", 3)]

@@ -118,3 +118,12 @@ def test_score_stream(spark, tmp_path):
     finally:
         q.stop()
     assert sorted((r.id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(i, i) for i in range(6)]
+
+
+def test_quota_ledger_late_rows(spark, tmp_path):
+    h = lambda hours: START + dt.timedelta(hours=hours)
+    rows = [("s", "a", h(25), "reserve"), ("s", "b", h(26), "reserve"), ("s", "late", h(1), "reserve"), ("s", "c", h(27), "reserve"), ("s", "x", h(200), "reserve"), ("s", "old", h(2), "reserve")]
+    df = feed(spark, tmp_path, rows, "scope string, request_id string, ts timestamp, op string", files=6)
+    out = {r.request_id: (r.status, r.used) for r in drain(spark, tmp_path, st.stream_quota_ledger(df, 2)).collect()}
+    assert out["late"] == ("reserved", 1) and out["c"] == ("quota_exhausted", 2)
+    assert out["x"] == ("reserved", 1) and out["old"] == ("too_late", 0)
