@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgrisk.llm.common import arrow_map, mix, slices
+from msgrisk.llm.common import arrow_map, mix, release, slices
+from msgrisk.operators.scale import small_or_none
 from msgrisk.session import materialize
 
 GRAM = 16
@@ -342,9 +343,31 @@ def _intervals(texts: DataFrame, common_grams: np.ndarray, window: int) -> DataF
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         names = ("key", "settled", "doc", "rid", "at", "data", "upto")
+        asked: dict[bytes, list[tuple[int, int, int]]] = {}
+        keys: dict[bytes, int] = {}
+        held = 0
+
+        def flush() -> dict:
+            rows: list[tuple] = []
+            done: dict[int, list[tuple[int, int]]] = {}
+            for s, places in asked.items():
+                key, size = keys[s], len(s)
+                if len(places) == 1:
+                    doc, rid, at = places[0]
+                    rows.append((key, False, doc, rid, at, s, 0))
+                    continue
+                least = min(places)[0]
+                for doc, rid, at in places:
+                    if doc > least:
+                        done.setdefault(rid, []).append((at, at + size))
+                    else:
+                        rows.append((key, False, doc, rid, at, s, 0))
+            rows += [(rid, True, 0, rid, a, b"", b) for rid, spans in done.items() for a, b in united(spans)]
+            asked.clear()
+            keys.clear()
+            return dict(zip(names, map(list, zip(*rows))))
+
         for part in slices(batches, "text"):
-            asked: dict[bytes, list[tuple[int, int, int]]] = {}
-            keys: dict[bytes, int] = {}
             for doc, rid, text, packs in zip(part["doc"], part["rid"], part["text"], part["packs"]):
                 data = text.encode("utf-8", "surrogatepass")
                 packed = np.asarray(packs, dtype=np.int64)
@@ -361,23 +384,12 @@ def _intervals(texts: DataFrame, common_grams: np.ndarray, window: int) -> DataF
                         s = data[at : at + width + window - 1]
                         asked.setdefault(s, []).append((doc, rid, at))
                         keys[s] = h
-            rows: list[tuple] = []
-            done: dict[int, list[tuple[int, int]]] = {}
-            for s, places in asked.items():
-                key, size = keys[s], len(s)
-                if len(places) == 1:
-                    doc, rid, at = places[0]
-                    rows.append((key, False, doc, rid, at, s, 0))
-                    continue
-                least = min(places)[0]
-                for doc, rid, at in places:
-                    if doc > least:
-                        done.setdefault(rid, []).append((at, at + size))
-                    else:
-                        rows.append((key, False, doc, rid, at, s, 0))
-            rows += [(rid, True, 0, rid, a, b"", b) for rid, spans in done.items() for a, b in united(spans)]
-            if rows:
-                yield dict(zip(names, map(list, zip(*rows))))
+                held += len(packed)
+                if held > 250_000 or len(asked) > 250_000:
+                    yield flush()
+                    held = 0
+        if asked:
+            yield flush()
 
     def settle(rows: list[tuple]) -> dict:
         """Rows of whole grams: (key, doc, rid, at, data)."""
@@ -450,20 +462,31 @@ def remove_repeats(docs: DataFrame, window: int = 50, hot: int | None = None, ke
     grams are dealt out.
     """
     keep = keep or []
+    spark = docs.sparkSession
     full = F.xxhash64("doc_id", "text")
-    # Rows that differ need different keys; the key with the number in it packs better, where it serves.
-    short = F.expr("shiftleft(coalesce(cast(doc_id AS long), -1), 12)").bitwiseOR(full.bitwiseAND(4095))
-    clash = docs.groupBy(short.alias("k")).agg(F.min(full).alias("a"), F.max(full).alias("b")).where("a <> b").limit(1).count()
-    rid = full if clash else short
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST - 1))
+    facts = materialize(docs.select(
+        order.alias("doc"), full.alias("full"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit("text"), "text").alias("b")
+    ))
+    # The number itself is the key of a row unless different texts share it; it packs better than a hash.
+    clash = facts.groupBy("doc").agg(F.min("full").alias("x"), F.max("full").alias("y")).where("x <> y").limit(1).count()
+    rid = full if clash else order
     whole = docs.select("doc_id", *[c for c in keep if c not in ("doc_id", "text")], "text", rid.alias("rid"))
-    hot = hot if hot is not None else max(2_000, int(0.005 * docs.count()))
-    found = materialize(_shared_grams(whole, window, hot))
+    # Of equal texts only those with the smallest number go on; the others lose all they have.
+    least = facts.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least")
+    copies = materialize(facts.join(least, ["a", "b"]).where("doc > least").select((F.col("full") if clash else F.col("doc")).alias("rid")).distinct())
+    firsts = whole.select(order.alias("doc"), "rid", "text").join(small_or_none(copies) or copies, "rid", "left_anti")
+    hot = hot if hot is not None else max(2_000, int(0.005 * facts.count()))
+    found = materialize(_shared_grams(firsts, window, hot))
+    release(spark)
     # Each stands for over ``hot`` segments, so there are at most (segments of a document) / 0.005 of them.
     common = found.where("rid IS NULL").select("packed").toPandas()["packed"].to_numpy(dtype=np.int64)
     shared = found.where("rid IS NOT NULL").groupBy("rid").agg(F.collect_set("packed").alias("packs"))
-    ranked = whole.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST - 1)).alias("doc"), "rid", "text")
-    gone = _intervals(ranked.join(shared, "rid").select("doc", "rid", "text", "packs"), common, window)
-    spans = materialize(gone.distinct().groupBy("rid").agg(F.collect_list(F.struct("first", "upto")).alias("spans")))
+    gone = _intervals(firsts.join(shared, "rid").select("doc", "rid", "text", "packs"), common, window)
+    gone = gone.unionByName(copies.select("rid", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("upto")))
+    spans = materialize(gone.groupBy("rid").agg(F.collect_set(F.struct("first", "upto")).alias("spans")))
+    del gone
+    release(spark)
 
     names = [c for c in whole.columns if c not in ("text", "rid")]
     types = dict(whole.dtypes)
@@ -475,7 +498,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, hot: int | None = None, ke
                 out["kept_text"] = []
             for text, cuts in zip(part["text"], part["spans"]):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                runs = united([(x["first"], x["upto"]) for x in cuts or ()])
+                spans = [(x["first"], x["upto"]) for x in cuts or ()]
+                if (0, -1) in spans:  # a copy
+                    spans = [(0, len(data))] if len(data) >= window else []
+                runs = united(spans)
                 edges = [0, *(x for run in runs for x in run), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out["n_bytes"].append(len(data))
