@@ -75,14 +75,15 @@ class Vocabulary:
 class Lattices:
     """Forward tables of parts, laid out for draws from many parts at once.
 
-    A node is a place in a part. Its incoming pieces lie together in ``keys``: the node's number above a 32-bit
-    running share, so one search over all keys finds the drawn piece.
+    A node is a place in a part. Its incoming pieces lie together from ``first[node]`` on, each with the share of the
+    32-bit range at which it begins; a draw moves on while the next piece begins at or below it.
     """
 
     def __init__(self, vocabulary: Vocabulary, limit: int = 250_000):
         self.vocabulary, self.limit = vocabulary, limit
         self.known: dict[str, int] = {}
-        self.keys = np.zeros(1 << 16, dtype=np.int64)
+        self.first = np.zeros(1 << 16, dtype=np.int64)
+        self.shares = np.zeros(1 << 16, dtype=np.int64)
         self.pieces = np.zeros(1 << 16, dtype=np.int32)
         self.sources = np.zeros(1 << 16, dtype=np.int64)
         self.arcs = self.nodes = 0
@@ -97,7 +98,7 @@ class Lattices:
         """Last node and first node of each part's lattice."""
         new = list(set(parts) - self.known.keys())
         extra: dict[str, int] = {}
-        batch: list[tuple[int, int, int]] = []
+        batch: list[tuple[int, int, int, int]] = []
         simple = [p for p in new if len(p) <= 60 and _MARK not in p]
         hard = [p for p in new if len(p) > 60 or _MARK in p]
         for at in range(0, len(simple), 20_000):
@@ -108,11 +109,15 @@ class Lattices:
             hard += [p for p, ok in zip(group, covered.tolist()) if not ok]
             self._full()
         for part in hard:
-            (self.known if self.kept is None else extra)[part] = self._add(part, batch)
-            self._store(batch)
+            end, nodes = self._add(part, batch)
+            (self.known if self.kept is None else extra)[part] = end
+            self._append(*(np.asarray(x, dtype=np.int64) for x in zip(*batch)), nodes)
+            batch.clear()
             self._full()
-        table = self.known if not extra else {**extra, **{p: self.known[p] for p in set(parts) if p in self.known}}
-        both = np.fromiter(map(table.__getitem__, parts), dtype=np.int64, count=len(parts))
+        self.known.update(extra)
+        both = np.fromiter(map(self.known.__getitem__, parts), dtype=np.int64, count=len(parts))
+        for part in extra:
+            del self.known[part]
         last = both & 0xFFFFFFFFFF
         return last, last - (both >> 40)
 
@@ -177,27 +182,25 @@ class Lattices:
         for r in range(1, int(rank.max(initial=0)) + 1):
             mine = np.flatnonzero(rank == r)
             before[mine] = before[mine - 1] + share[mine - 1]
-        self._append((into << 32) + np.minimum((before * 4294967296.0).astype(np.int64), 4294967295), piece, out_of)
-        self.nodes += len(total)
+        self._append(into, np.minimum((before * 4294967296.0).astype(np.int64), 4294967295), piece, out_of, self.nodes + len(total))
         return (sizes << 40) | (base + sizes), covered
 
-    def _append(self, key: np.ndarray, piece: np.ndarray, source: np.ndarray) -> None:
-        need = self.arcs + len(key)
-        if need > len(self.keys):
-            size = max(need, 2 * len(self.keys))
-            self.keys, self.pieces, self.sources = (np.concatenate([x[: self.arcs], np.zeros(size - self.arcs, dtype=x.dtype)]) for x in (self.keys, self.pieces, self.sources))
+    def _append(self, node: np.ndarray, share: np.ndarray, piece: np.ndarray, source: np.ndarray, nodes: int) -> None:
+        """Add the pieces of the nodes from the last one so far up to ``nodes``, in the order of their nodes."""
+        need = self.arcs + len(node)
+        if need > len(self.shares):
+            size = max(need, 2 * len(self.shares))
+            self.shares, self.pieces, self.sources = (np.concatenate([x[: self.arcs], np.zeros(size - self.arcs, dtype=x.dtype)]) for x in (self.shares, self.pieces, self.sources))
+        if nodes + 1 > len(self.first):
+            size = max(nodes + 1, 2 * len(self.first))
+            self.first = np.concatenate([self.first[: self.nodes + 1], np.zeros(size - self.nodes - 1, dtype=np.int64)])
         at = slice(self.arcs, need)
-        self.keys[at], self.pieces[at], self.sources[at] = key, piece, source
-        self.arcs = need
+        self.shares[at], self.pieces[at], self.sources[at] = share, piece, source
+        self.first[self.nodes : nodes + 1] = self.arcs + np.searchsorted(node, np.arange(self.nodes, nodes + 1))
+        self.arcs, self.nodes = need, nodes
 
-    def _store(self, batch: list[tuple[int, int, int]]) -> None:
-        if not batch:
-            return
-        self._append(*(np.asarray(x, dtype=np.int64) for x in zip(*batch)))
-        batch.clear()
-
-    def _add(self, part: str, batch: list[tuple[int, int, int]]) -> int:
-        """The part's last node, with the distance from its first one above 40 bits."""
+    def _add(self, part: str, batch: list[tuple[int, int, int, int]]) -> tuple[int, int]:
+        """The part's last node, with the distance from its first one above 40 bits; and the next free node."""
         v = self.vocabulary
         spaced = part[0] == " "
         text = _MARK + part[1:] if spaced else part
@@ -239,18 +242,17 @@ class Lattices:
                     raw = (" " if spaced and end == 1 else text[start]).encode("utf-8", "surrogatepass")
                     for value in raw[:-1]:
                         node += 1
-                        batch.append((node << 32, v.byte_ids[value], source))
+                        batch.append((node, 0, v.byte_ids[value], source))
                         source = node
                     piece = v.byte_ids[raw[-1]]
                 arcs.append((w, source, piece))
             node += 1
             number.append(node)
-            base, share, whole = node << 32, 0.0, total[end]
+            share, whole = 0.0, total[end]
             for w, source, piece in arcs:
-                batch.append((base + min(int(share * 4294967296.0), 4294967295), piece, source))
+                batch.append((node, min(int(share * 4294967296.0), 4294967295), piece, source))
                 share += exp(w - whole)
-        self.nodes = node + 1
-        return (node - first) << 40 | node
+        return (node - first) << 40 | node, node + 1
 
     def sample(self, parts: list[str], numbers: np.ndarray, row_keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Drawn pieces of all parts in text order, and how many each part has."""
@@ -260,12 +262,17 @@ class Lattices:
         now, who = last.copy(), np.arange(len(parts))
         count = np.zeros(len(parts), dtype=np.int64)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
-        keys = self.keys[: self.arcs]
         step = 0
         while len(who):
             with np.errstate(over="ignore"):
                 draw = (mix(base[who] + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF), 11) >> np.uint64(32)).astype(np.int64)
-            arc = np.searchsorted(keys, (now[who] << 32) + draw, "right") - 1
+            node = now[who]
+            arc, last_arc = self.first[node], self.first[node + 1] - 1
+            going = np.flatnonzero(arc < last_arc)
+            while len(going):
+                going = going[self.shares[arc[going] + 1] <= draw[going]]
+                arc[going] += 1
+                going = going[arc[going] < last_arc[going]]
             drawn.append((who, self.pieces[arc]))
             count[who] += 1
             now[who] = self.sources[arc]
