@@ -16,7 +16,7 @@ HEADLINE = [
     "pr_curve", "roc_auc", "threshold_at_fpr", "evaluation_cube", "regression_gate", "dataset_fingerprint",
     "latency_stats", "correlation_matrix", "sender_episodes", "sliding_rate", "daily_quota", "event_transitions",
     "minute_windows", "keyword_rules", "text_signals", "page_visible_text", "page_links", "link_findings",
-    "sender_features", "tfidf_terms", "analyze_documents",
+    "sender_features", "tfidf_terms", "analyze_documents", "out_of_fold_scores", "tabular_importances",
 ]
 
 
