@@ -65,8 +65,8 @@ def routing_mismatch(spark, d):
 
 @query("recipients", f"SELECT {_ROOT}, false AS no_visible_recipient, role = 'system' AS self_addressed FROM conversations")
 def recipients(spark, d):
-    boxes = ops.mailboxes(ops.ingest_eml(raw_messages(spark, d))["headers"])
-    return ops.recipients(boxes, ["root_id"])
+    e = ops.ingest_eml(raw_messages(spark, d))
+    return ops.recipients(ops.mailboxes(e["headers"]), ["root_id"], e["messages"])
 
 
 @query("auth_verdict", f"""

@@ -85,13 +85,21 @@ def routing_mismatch(boxes: DataFrame, key: list[str]) -> DataFrame:
     return domains.where((F.size("senders") > 0) & strange).select(*key, F.lit(2).alias("points"))
 
 
-def recipients(boxes: DataFrame, key: list[str]) -> DataFrame:
-    """Whether a message has visible recipients and whether it is addressed to its own sender."""
+def recipients(boxes: DataFrame, key: list[str], messages: DataFrame | None = None) -> DataFrame:
+    """Whether a message has visible recipients and whether it is addressed to its own sender.
+
+    With ``messages`` a message without any mailbox has its row as well.
+    """
     sets = boxes.groupBy(*key).agg(
         F.collect_set(F.when(F.col("name") == "from", F.col("address"))).alias("senders"),
         F.collect_set(F.when(F.col("name").isin("to", "cc"), F.col("address"))).alias("to"),
     )
-    return sets.select(*key, (F.size("to") == 0).alias("no_visible_recipient"), F.arrays_overlap("senders", "to").alias("self_addressed"))
+    found = sets.select(*key, (F.size("to") == 0).alias("no_visible_recipient"), F.arrays_overlap("senders", "to").alias("self_addressed"))
+    if messages is None:
+        return found
+    every = messages.select(*key).distinct().join(found, key, "left")
+    return every.select(*key, F.coalesce("no_visible_recipient", F.lit(True)).alias("no_visible_recipient"),
+                        F.coalesce("self_addressed", F.lit(False)).alias("self_addressed"))
 
 
 FAILED = ["fail", "softfail", "permerror", "temperror"]

@@ -76,19 +76,24 @@ def stream_sender_history(events: DataFrame, secret: bytes, ttl_seconds: int, de
 
 
 class _Limiter(StatefulProcessor):
-    """Sliding log (rejected hits leave no trace) or a window anchored at its first hit."""
+    """Sliding log (rejected hits leave no trace) or a window anchored at its first hit.
+
+    A key is forgotten once the watermark is a window past its last hit.
+    """
 
     def __init__(self, window_seconds: int, limit: int, anchored: bool):
         self.width, self.limit, self.anchored = window_seconds * 1_000_000, limit, anchored
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.log = handle.getValueState("log", "times array<long>, count long")
+        self.handle = handle
+        self.log = handle.getValueState("log", "times array<long>, count long, last long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = sorted((_micros(t), int(e)) for batch in rows for t, e in zip(batch["ts"], batch["event_id"]))
-        times, count = (list(self.log.get()[0]), self.log.get()[1]) if self.log.exists() else ([], 0)
+        times, count, last = (list(self.log.get()[0]), *self.log.get()[1:]) if self.log.exists() else ([], 0, 0)
         out = []
         for t, event_id in events:
+            last = max(last, t)
             if self.anchored:
                 if not times or t - times[0] >= self.width:
                     times, count = [t], 0
@@ -101,26 +106,32 @@ class _Limiter(StatefulProcessor):
                     times.append(t)
                 hits = len(times)
             out.append((key[0], _stamp(t), event_id, hits, allowed))
-        self.log.update((times, count))
+        self.log.update((times, count, last))
+        self.handle.registerTimer((last + self.width) // 1000 + 1)
         yield pd.DataFrame(out, columns=["key", "ts", "event_id", "hits", "allowed"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.log.exists() and expiredTimerInfo.getExpiryTimeInMs() * 1000 > self.log.get()[2] + self.width:
+            self.log.clear()
+        yield pd.DataFrame(columns=["key", "ts", "event_id", "hits", "allowed"])
+
     def close(self) -> None:
         pass
 
 
-def _limiter(events: DataFrame, window_seconds: int, limit: int, anchored: bool) -> DataFrame:
-    return events.select("key", "ts", "event_id").groupBy("key").transformWithStateInPandas(
-        _Limiter(window_seconds, limit, anchored), DECISION, outputMode="append", timeMode="None")
+def _limiter(events: DataFrame, window_seconds: int, limit: int, anchored: bool, delay: str) -> DataFrame:
+    return events.select("key", "ts", "event_id").withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(
+        _Limiter(window_seconds, limit, anchored), DECISION, outputMode="append", timeMode="EventTime")
 
 
-def stream_sliding_limiter(events: DataFrame, window_seconds: int, limit: int) -> DataFrame:
+def stream_sliding_limiter(events: DataFrame, window_seconds: int, limit: int, delay: str = "1 hour") -> DataFrame:
     """``events(key, ts, event_id)`` allowed while fewer than ``limit`` accepted hits are in the window."""
-    return _limiter(events, window_seconds, limit, anchored=False)
+    return _limiter(events, window_seconds, limit, anchored=False, delay=delay)
 
 
-def stream_anchored_limiter(events: DataFrame, window_seconds: int, limit: int) -> DataFrame:
+def stream_anchored_limiter(events: DataFrame, window_seconds: int, limit: int, delay: str = "1 hour") -> DataFrame:
     """The window opens at the first hit and closes a fixed time later."""
-    return _limiter(events, window_seconds, limit, anchored=True)
+    return _limiter(events, window_seconds, limit, anchored=True, delay=delay)
 
 
 class _Ledger(StatefulProcessor):

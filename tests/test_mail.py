@@ -178,3 +178,10 @@ def test_rules_agree_in_both_forms(spark, monkeypatch):
     monkeypatch.setattr(rules, "UNROLLED_RULES", 2)
     assert one == sorted((r.id, tuple(r.matched), r["count"]) for r in rules.keyword_rules(messages, table, "id").collect())
     assert (0, ("_foo bar", "y"), 2) in one
+
+
+def test_recipients_of_every_message(spark):
+    boxes = _boxes(spark, [("from", "", "a@x.example"), ("to", "", "a@x.example")])
+    messages = spark.createDataFrame([("r",), ("bare",)], "root_id string")
+    got = {r.root_id: (r.no_visible_recipient, r.self_addressed) for r in mail.recipients(boxes, ["root_id"], messages).collect()}
+    assert got == {"r": (False, True), "bare": (True, False)}
