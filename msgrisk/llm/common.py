@@ -11,7 +11,6 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from msgrisk.session import ensure_checkpoint_dir
@@ -67,10 +66,6 @@ class Memo(dict):
         return value
 
 
-def hash_bytes(word: str) -> bytes:
-    return xxhash.xxh3_64_digest(word.encode("utf-8", "surrogatepass"))
-
-
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit mixer (splitmix64 finalizer) over unsigned integers."""
     with np.errstate(over="ignore"):
@@ -101,6 +96,27 @@ def filesystem(folder: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class Scratch:
+    """Tables that one operation writes to shared storage, each deleted once no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folders: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        folder = shared_folder(self.spark, "scratch")
+        df.write.parquet(folder)
+        table = self.spark.read.schema(df.schema).parquet(folder)
+        self.folders[id(table)] = folder
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            system, path = filesystem(self.folders.pop(id(table)))
+            system.delete_dir(path)
+        release(self.spark)
+
+
 def write_file(folder: str, name: str, parts: list[bytes]) -> None:
     """Write a file under another name, then rename it: a repeated attempt replaces it by the same bytes."""
     system, path = filesystem(folder)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgrisk.llm.common import arrow_map, hash_bytes, mix, slices
+from msgrisk.llm.common import Scratch, arrow_map, mix, slices
 from msgrisk.operators.corpus import connected_groups
 from msgrisk.session import materialize
 
@@ -396,24 +396,29 @@ def ngram_components(
     ``frequent_tokens`` bounds the broadcast order of tokens, not what is found. With ``row_key`` also rid, the row's
     xxhash64 of doc_id and text, and whether the row is the one of its component that stays.
     """
-    sets = materialize(_sets(docs, words))
+    scratch = Scratch(docs.sparkSession)
+    sets = scratch.keep(_sets(docs, words))
+    rows = scratch.keep(sets.select("doc_id", "rid", "n", "sid"))
     frequent = _frequent(sets.where("n > 1"), frequent_tokens)
-    hot = max(256, int(hot_share * sets.count()))
-    edges = materialize(_list_edges(_index_entries(sets, frequent, hot, percent), short_list, percent))
-    clusters = materialize(connected_groups(_bounded(edges, sets, percent)))
-    links = materialize(_verify(materialize(_members(sets, clusters)), percent))
+    hot = max(256, int(hot_share * rows.count()))
+    edges = scratch.keep(_list_edges(_index_entries(sets, frequent, hot, percent), short_list, percent))
+    clusters = scratch.keep(connected_groups(_bounded(edges, sets, percent)))
+    members = scratch.keep(_members(sets, clusters))
+    scratch.drop(sets, edges)
+    links = scratch.keep(_verify(members, percent))
+    scratch.drop(members, clusters)
     parts = connected_groups(links.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     linked = links.groupBy("sid").agg(F.sum("links").alias("_links")).join(
         parts.select(F.col("node").alias("sid"), F.col("component").alias("_part")), "sid"
     )
     last = F.lit((1 << 63) - 1)
     row = F.struct(F.coalesce("doc_id", last).alias("doc_id"), "rid")
-    by_set = sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min(row).alias("_least"), F.count(F.lit(1)).alias("_copies"))
+    by_set = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min(row).alias("_least"), F.count(F.lit(1)).alias("_copies"))
     named = materialize(by_set.join(linked, "sid", "left").withColumn("_part", F.coalesce("_part", "sid")))
     least = named.groupBy("_part").agg(F.min("_least").alias("_first"))
     by_set = named.join(least, "_part").select("sid", "_first", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"))
     first = F.when(F.col("sid").isNull(), row).otherwise(F.col("_first"))
-    return sets.select("doc_id", "rid", F.col("n").cast("long").alias("n_shingles"), "sid").join(by_set, "sid", "left").select(
+    return rows.select("doc_id", "rid", F.col("n").cast("long").alias("n_shingles"), "sid").join(by_set, "sid", "left").select(
         "doc_id", "n_shingles", F.nullif(first["doc_id"], last).alias("component_id"), F.coalesce("_links", F.lit(0)).alias("n_links"),
         *([F.col("rid"), (first["rid"] == F.col("rid")).alias("stays")] if row_key else []),
     )

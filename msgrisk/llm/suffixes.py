@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgrisk.llm.common import arrow_map, mix, release, slices
+from msgrisk.llm.common import Scratch, arrow_map, mix, release, slices
 from msgrisk.operators.scale import small_or_none
 from msgrisk.session import materialize
 
@@ -477,7 +477,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, hot: int | None = None, ke
     copies = materialize(facts.join(least, ["a", "b"]).where("doc > least").select((F.col("full") if clash else F.col("doc")).alias("rid")).distinct())
     firsts = whole.select(order.alias("doc"), "rid", "text").join(small_or_none(copies) or copies, "rid", "left_anti")
     hot = hot if hot is not None else max(2_000, int(0.005 * facts.count()))
-    found = materialize(_shared_grams(firsts, window, hot))
+    scratch = Scratch(spark)
+    found = scratch.keep(_shared_grams(firsts, window, hot))
     release(spark)
     # Each stands for over ``hot`` segments, so there are at most (segments of a document) / 0.005 of them.
     common = found.where("rid IS NULL").select("packed").toPandas()["packed"].to_numpy(dtype=np.int64)
@@ -485,8 +486,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, hot: int | None = None, ke
     gone = _intervals(firsts.join(shared, "rid").select("doc", "rid", "text", "packs"), common, window)
     gone = gone.unionByName(copies.select("rid", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("upto")))
     spans = materialize(gone.groupBy("rid").agg(F.collect_set(F.struct("first", "upto")).alias("spans")))
-    del gone
-    release(spark)
+    del gone, shared
+    scratch.drop(found)
 
     names = [c for c in whole.columns if c not in ("text", "rid")]
     types = dict(whole.dtypes)
