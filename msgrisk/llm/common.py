@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from msgrisk.session import ensure_checkpoint_dir
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
 #: Rows of text handled at once inside a task are cut to about this many characters.
 SLICE_CHARS = 2_000_000
 
@@ -36,8 +38,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = SLICE_CH
 
 
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, Any]]], schema: str) -> DataFrame:
-    """``mapInArrow`` for a generator of column dicts that match ``schema``."""
+    """``mapInArrow`` for a generator of column dicts that match ``schema``.
+
+    Rows hold whole texts, so batches of a thousand rows replace Spark's ten thousand; this holds for the session.
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     names = [f.name for f in spark.createDataFrame([], schema).schema]
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -109,7 +109,7 @@ def _frequent(sets: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
                 own = np.frombuffer(value.as_buffer(), dtype=np.uint64)
                 held.append(own)
                 size += len(own)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield count()
                 size = 0
         if held:
@@ -155,7 +155,7 @@ def _index_entries(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], hot
             for sid, value in zip(batch.column("sid").to_pylist(), batch.column("tokens")):
                 if sid in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 300_000:
                     seen.add(sid)
                 tokens = np.frombuffer(value.as_buffer(), dtype=np.uint64)
                 n = len(tokens)

@@ -229,7 +229,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, penalty: float = 6
         scores, letters = found.score([])
         for part in slices(batches, "text", chars):
             words = [_WORDS.findall(t.lower()) if t else [] for t in part["text"]]
-            if len(known) > 400_000:  # a cache only: what a word scores never depends on it
+            if len(known) > 300_000:  # a cache only: what a word scores never depends on it
                 known.clear()
                 scores, letters = found.score([])
             new = list(set().union(*words) - known.keys())
