@@ -39,7 +39,9 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-_TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*>)""")
+#: A quote opens a string directly after the equals sign of an attribute only; any other quote is a plain character.
+_VALUE = r"""[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r"'>][^ \t\n\f\r>]*+)?+"""
+_TAG = re.compile(rf"<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:{_VALUE})?+)*+)>|[!?/][^>]*>)")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")

@@ -247,6 +247,16 @@ def test_leaf_blocks():
     assert leaf_blocks('<div class="x') == [] and leaf_blocks("<ul><li>a<li>b</ul>c")[1][1][-1][0] == "li"
 
 
+@pytest.mark.parametrize("tag", [
+    "<p title=don't>", "<p title=5\"x>", '<p class="a"">', "<p class='a''>", "<p it's>", '<p "a>', "<p a = don't b='x > y'>", '<p a= b="c x="it > is">',
+    '<p a=b"c=">', "<p a='>\">' b=\"'>\">", "<p/a='>'/>", "<p ='>",
+])
+def test_quotes_inside_tags(tag):
+    blocks = leaf_blocks(f"""<div>{tag}First it's text. <a href="u">link</a> Second.</p><p class="b">It's third.</p></div>""")
+    assert [b[0] for b in blocks] == ["First it's text. link Second.", "It's third."]
+    assert [b[1][-1][0] for b in blocks] == ["p", "p"] and blocks[1][1][-1][1] == ("b",)
+
+
 def test_field_learns_and_decodes():
     field = Field().train([(features(leaf_blocks(PAGE)), [0, 0, 1, 1, 1, 0])] * 20)
     blocks = leaf_blocks(PAGE)
