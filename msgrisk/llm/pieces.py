@@ -1,12 +1,13 @@
 """Sampled segmentation into vocabulary pieces, and lossless decoding.
 
-A text is cut before every space, around every line feed, and between a word and a mark that no piece joins; no piece of the vocabulary crosses such a cut. The
+A text is cut before every run of spaces, around every line feed, and between a letter or digit and a mark that no
+piece joins. A kind of cut that a piece of the vocabulary would cross is not made, so every piece can be drawn. The
 pieces that fit into a part of the text form a lattice. Forward filtering sums the weights of all paths to each
 place; backward sampling walks from the end, drawing at each place one of the pieces that end there in proportion to
 the weight it brings. The draws are counter-based hashes of the seed, the row's key, the part's number and the
 step, so a row is always segmented alike, on any machine and in any order.
 
-Characters that no piece covers, and the space mark itself, are spelled in byte pieces, so decoding returns the text.
+Characters that no piece covers, and a space mark in the text itself, are spelled in byte pieces, so decoding returns the text.
 Forward tables of parts are kept in a bounded cache; draws compare integers, which do not depend on the cache.
 """
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from msgrisk.llm.common import arrow_map, mix, slices
 
 _MARK = "▁"
+#: A space of a text is the mark of the pieces; a mark in the text is what no piece has.
+_SWAP = str.maketrans({" ": _MARK, _MARK: " "})
 
 
 class Vocabulary:
@@ -47,8 +50,8 @@ class Vocabulary:
                 self.byte_ids[value] = i
                 self.bytes_of[i] = bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                if "\n" in piece or _MARK in piece[1:]:
-                    continue  # would cross a cut
+                if " " in piece:
+                    continue  # spaces of a text are marks, so it never fits
                 self.ids[piece] = i
                 plain[piece] = model.get_score(i)
                 self.bytes_of[i] = piece.replace(_MARK, " ").encode()
@@ -66,9 +69,14 @@ class Vocabulary:
         for p, i in self.ids.items():
             self.node_piece[number[p]], self.node_log[number[p]] = i, self.logs[p]
         # Marks that no piece joins to a letter or digit before them: a text is cut before these as well.
-        joined = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalnum()}
+        pairs = {x for p in self.ids for x in zip(p, p[1:])}
+        joined = {b for a, b in pairs if a.isalnum()}
         marks = "".join(re.escape(c) for c in ".,;:!?|)" if c not in joined)
-        self.parts = re.compile(rf"\n| ?[^ \n]*?\w(?=[{marks}])| ?[^ \n]+| " if marks else r"\n| ?[^ \n]+| ")
+        lines = not any("\n" in x for x in pairs)
+        spaces = not any(a != _MARK and b == _MARK for a, b in pairs)
+        edges = " " * spaces + r"\n" * lines
+        one = f"[^{edges}]" if edges else "(?s:.)"
+        self.parts = re.compile((r"\n|" if lines else "") + (rf" *+{one}*?[^\W_](?=[{marks}])|" if marks else "") + f" *+{one}+| +")
         self.rare = min(self.logs.values(), default=0.0) - 1.0
 
 
@@ -128,7 +136,7 @@ class Lattices:
     def _add_many(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``_add`` for many parts at once; a part with a character that no piece covers is left out (not covered)."""
         v = self.vocabulary
-        texts = [_MARK + p[1:] if p[0] == " " else p for p in parts]
+        texts = [p.replace(" ", _MARK) for p in parts]
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         sizes = np.asarray([len(t) for t in texts], dtype=np.int64)
         first = np.cumsum(sizes) - sizes
@@ -202,8 +210,7 @@ class Lattices:
     def _add(self, part: str, batch: list[tuple[int, int, int, int]]) -> tuple[int, int]:
         """The part's last node, with the distance from its first one above 40 bits; and the next free node."""
         v = self.vocabulary
-        spaced = part[0] == " "
-        text = _MARK + part[1:] if spaced else part
+        text = part.translate(_SWAP)
         size = len(text)
         incoming: list[list[tuple[float, int, int]]] = [[] for _ in range(size + 1)]  # (weight, start, piece)
         total = [0.0] * (size + 1)
@@ -222,7 +229,7 @@ class Lattices:
             for end in range(start + 1, size + 1):
                 piece = text[start:end]
                 weight = logs.get(piece)
-                if weight is not None and (start == 0 and spaced or piece[0] != _MARK):
+                if weight is not None:
                     incoming[end].append((here + weight, start, ids[piece]))
                 elif piece not in prefixes:
                     break
@@ -239,7 +246,7 @@ class Lattices:
             for w, start, piece in incoming[end]:
                 source = number[start]
                 if piece < 0:
-                    raw = (" " if spaced and end == 1 else text[start]).encode("utf-8", "surrogatepass")
+                    raw = part[start].encode("utf-8", "surrogatepass")
                     for value in raw[:-1]:
                         node += 1
                         batch.append((node, 0, v.byte_ids[value], source))

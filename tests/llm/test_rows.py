@@ -13,7 +13,7 @@ from msgrisk.llm.langid import identify_languages, learn_languages, viterbi
 from msgrisk.llm.licenses import BASE_PHRASES, scan_licenses
 from msgrisk.llm.maintext import Field, features, leaf_blocks, main_text, own_labels, train_field
 from msgrisk.llm.packing import differencing, pack_sequences, windows_of
-from msgrisk.llm.pieces import Lattices, Vocabulary, decode_pieces, encode_sampled
+from msgrisk.llm.pieces import Lattices, Vocabulary, decode_pieces, encode_sampled, parts_of
 from msgrisk.llm.tokens import TextEncoder
 from msgrisk.llm.tokenstore import PerfectHash, locate, read_located, read_store, write_store
 
@@ -161,6 +161,47 @@ def test_pieces_follow_the_lattice():
         assert abs(seen.get(path, 0) / n - share) < 5 * (share * (1 - share) / n) ** 0.5 + 1e-4
 
 
+@pytest.mark.parametrize("text", ["a    b", "   if x", "y  ", "f(_, __)", "x__); _;", "_,  a", "a  \n   b"])
+def test_pieces_are_the_whole_vocabulary(text):
+    """Draws against all paths through the uncut text over the unreduced model."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    special = (model.is_byte, model.is_control, model.is_unknown, model.is_unused)
+    scores = {model.id_to_piece(i): (i, model.get_score(i)) for i in range(model.get_piece_size()) if not any(f(i) for f in special)}
+    best = max(s for _, s in scores.values())
+    rare = -0.3 * np.log(best - min(s for _, s in scores.values()) + 2) - 1
+    marked, paths = "▁" + text.replace(" ", "▁"), {}
+
+    def walk(at, ids, weight):
+        if at == len(marked):
+            paths[tuple(ids)] = np.exp(weight)
+        for end in range(at + 1, len(marked) + 1):
+            if marked[at:end] in scores:
+                i, score = scores[marked[at:end]]
+                walk(end, [*ids, i], weight - 0.3 * np.log(best - score + 2))
+            elif end == at + 1:  # a line feed
+                walk(end, [*ids, model.piece_to_id(f"<0x{ord(marked[at]):02X}>")], weight + rare)
+
+    walk(0, [], 0.0)
+    vocabulary, n = Vocabulary(PIECES, 0.3), 20_000
+    fast, slow = Lattices(vocabulary), Lattices(vocabulary)
+    slow._add_many = lambda parts: (np.zeros(len(parts), int), np.zeros(len(parts), bool))
+    parts = parts_of(text, vocabulary)
+    assert "".join(parts) == " " + text
+    drawn = [x.sample(parts * n, np.tile(np.arange(len(parts)), n), np.repeat(np.arange(n, dtype=np.uint64), len(parts)), 4) for x in (fast, slow)]
+    assert (drawn[0][0] == drawn[1][0]).all()
+    ids, count = drawn[0]
+    ends = np.cumsum(count.reshape(n, -1).sum(1))
+    seen = {}
+    for a, b in zip([0, *ends[:-1]], ends):
+        seen[tuple(ids[a:b].tolist())] = seen.get(tuple(ids[a:b].tolist()), 0) + 1
+    assert set(seen) <= set(paths)
+    for path, weight in paths.items():
+        share = weight / sum(paths.values())
+        assert abs(seen.get(path, 0) / n - share) < 5 * (share * (1 - share) / n) ** 0.5 + 2e-4
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(3)
     lengths = np.asarray([0, 1, 5, 700, 256, 257])
