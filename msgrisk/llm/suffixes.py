@@ -36,6 +36,8 @@ from msgrisk.session import materialize
 GRAM = 16
 #: Bytes of a text that are cut into segments at once.
 STRETCH = 1 << 20
+#: Segments that a task holds before it looks for repeats among them.
+FLUSH = 1_000_000
 _LAST = (1 << 63) - 1
 
 
@@ -257,10 +259,14 @@ def _shared_grams(docs: DataFrame, window: int, hot: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        carried: int | None = None  # the last row of the flush before
 
         def flush() -> dict:
+            nonlocal carried
             key, rid, packed = (np.concatenate(x) for x in zip(*held))
             held.clear()
+            torn = (rid == rid[-1]) | (rid == carried) if carried is not None else rid == rid[-1]
+            carried = int(rid[-1])
             before, after = _sides(key)
             known = _several(before, rid) | _several(after, rid)
             order = np.argsort(key, kind="stable")
@@ -269,7 +275,13 @@ def _shared_grams(docs: DataFrame, window: int, hot: int) -> DataFrame:
             first = order[starts]
             copies = np.minimum(np.diff(np.append(starts, len(key))), 32_767)
             asks = ~known
-            asks[first] = True  # one row of those known to repeat speaks for all
+            asks[first] = True  # one row of those known to repeat speaks for all of its rid and the others
+            # A row with segments in other flushes would meet only itself there: one of another rid asks as well.
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(starts, len(key))))
+            differ = np.flatnonzero((rid[order] != rid[first][group]) & torn[first][group])
+            groups, at = np.unique(group[differ], return_index=True)
+            asks[order[differ[at]]] = True
+            copies[groups] -= 1
             n = np.ones(len(key), dtype=np.int64)
             n[first] = np.where(known[first], copies, 1)
             told = np.flatnonzero(known)
@@ -288,7 +300,7 @@ def _shared_grams(docs: DataFrame, window: int, hot: int) -> DataFrame:
                 key = context_keys(joined, starts[number] + place, reach).view(np.int64)
                 held.append((key, rids[number], (at << 32) | (windows << 8) | (place - at)))
                 size += len(key)
-                if size > 1_000_000:
+                if size > FLUSH:
                     yield flush()
                     size = 0
         if held:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from msgrisk.llm import suffixes
 from msgrisk.llm.jaccard import compare_block, ngram_components, overlap_bound, classes
 from msgrisk.llm.suffixes import merge_shards, remove_repeats, repeated
 from msgrisk.llm.vectors import exact_top_k, nearest_neighbours
@@ -138,6 +139,33 @@ def test_remove_repeats(spark, hot):
     assert remove_repeats(table.limit(0)).count() == 0
 
 
+def test_remove_repeats_across_flushes(spark, monkeypatch):
+    """Long documents torn by a flush, before documents with smaller numbers that hold their passages."""
+    arrow_map = suffixes.arrow_map
+
+    def small(df, work, schema):
+        def torn(batches):
+            whole, suffixes.STRETCH = suffixes.STRETCH, 2000
+            try:
+                yield from work(batches)
+            finally:
+                suffixes.STRETCH = whole
+
+        return arrow_map(df, torn, schema)
+
+    monkeypatch.setattr(suffixes, "arrow_map", small)
+    monkeypatch.setattr(suffixes, "FLUSH", 100)
+    draw = random.Random(8)
+    text = lambda k: "".join(draw.choices("abcdefghijklmnop", k=k))
+    rows = []
+    for i in range(15):
+        passage = text(300)
+        rows += [(100 - i, passage + text(draw.randint(1500, 3500)) + passage + text(draw.randint(0, 60))), (50 - i, text(20) + passage + text(draw.randint(0, 60)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = remove_repeats(table).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=str) == remaining(rows, 50)
+
+
 BAD = [None, [], [None, 1.0, 2.0, 3.0], [float("nan"), 1.0, 0.0, 0.0], [float("inf"), 0.0, 0.0, 0.0]]
 
 
