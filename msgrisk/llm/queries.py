@@ -18,6 +18,7 @@ from msgrisk.llm.pieces import decode_pieces, encode_sampled
 from msgrisk.llm.suffixes import remove_repeats
 from msgrisk.llm.tokenstore import read_store, write_store
 from msgrisk.llm.vectors import exact_top_k, nearest_neighbours
+from msgrisk.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -137,3 +138,8 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = s.doc_id) AS component_id,
   (SELECT count(*) FROM l WHERE l.a = s.doc_id)::BIGINT AS n_links FROM s
 """
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), scale=64.0, components=16)
