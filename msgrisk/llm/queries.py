@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from msgrisk.llm.align import align_tokens
 from msgrisk.llm.common import shared_folder, table
 from msgrisk.llm.jaccard import ngram_components
 from msgrisk.llm.langid import held_out, identify_languages, learn_languages
@@ -15,6 +16,7 @@ from msgrisk.llm.licenses import scan_licenses
 from msgrisk.llm.maintext import main_text, train_field
 from msgrisk.llm.packing import pack_sequences
 from msgrisk.llm.pieces import decode_pieces, encode_sampled
+from msgrisk.llm.quality import score_quality, train_quality
 from msgrisk.llm.suffixes import remove_repeats
 from msgrisk.llm.tokenstore import read_store, write_store
 from msgrisk.llm.vectors import exact_top_k, nearest_neighbours
@@ -143,3 +145,15 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = s
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), scale=64.0, components=16)
+
+
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).drop("groups")

@@ -41,16 +41,23 @@ def _byte_letters() -> dict[int, str]:
 
 
 class TextEncoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
+    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str):
+    The name of a special token inside a text is that token, as in the library by default; with ``plain`` it is spelled out
+    like any other text.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
+        added = [] if plain else settings.get("added_tokens", [])
+        #: What every text that names a special token holds; empty if that is not known, none if there are no such tokens.
+        self.named = os.path.commonprefix(["" if t["normalized"] else t["content"] for t in added]) if added else None
         before = json.dumps([settings.get("normalizer"), settings.get("pre_tokenizer")])
         self.kind = "whole"
         if settings["model"].get("type") == "BPE":
@@ -79,6 +86,8 @@ class TextEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.named is not None and self.named in text:
+            return self._library_ids(text)
         if self.kind == "byte":
             pieces = _BYTE_PIECES.findall(text)
         elif self.kind == "word":
@@ -90,5 +99,5 @@ class TextEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> TextEncoder:
-    """One encoder for each file and worker process."""
+    """One encoder for each file and worker process; names of special tokens inside texts are those tokens."""
     return TextEncoder(path)

@@ -40,12 +40,14 @@ def key(text):
     return (text is None, text or "")
 
 
+@pytest.mark.parametrize("plain", [False, True])
 @pytest.mark.parametrize("path", [BYTES, WORDS])
-def test_encoder_equals_library(path):
-    own, library = TextEncoder(path), Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+def test_encoder_equals_library(path, plain):
+    own, library = TextEncoder(path, plain=plain), Tokenizer.from_file(path)
+    library.encode_special_tokens = plain
     odd = ["".join(chr(c) for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x3000, 64)]
-    for text in [t or "" for _, t in TEXTS] + odd + ["İstanbul, ÀÖabc. ɏx ǅ!", "a\r\n\r\nb", "\x85a\x1d \x1f b", "a² b½, c_d"]:
+    for text in [t or "" for _, t in TEXTS] + odd + ["İstanbul, ÀÖabc. ɏx ǅ!", "a\r\n\r\nb", "\x85a\x1d \x1f b", "a² b½, c_d",
+                                                       "hello <|endoftext|> world", "<|ENDOFTEXT|><|startoftext|>x", "<|end <|endoftext|>"]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:80]
 
 
