@@ -87,7 +87,29 @@ def duplicate_headers(spark, d):
     return ops.duplicate_headers(ops.ingest_eml(raw_messages(spark, d))["headers"], ["root_id"])
 
 
-@query("mime_views", f"SELECT {_ROOT}, 1::BIGINT AS views FROM conversations")
+def branched_messages(spark, d):
+    """Turns with alternative renderings: none (system), one group (assistant), or three groups, one inside another (user)."""
+    t = table(spark, d, "conversations")
+    root = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    leaf = lambda content: F.concat(F.lit("Content-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"), content, F.lit("\r\n"))
+
+    def multipart(kind, mark, *children):
+        inside = [x for c in children for x in (F.lit(f"--{mark}\r\n"), c)]
+        return F.concat(F.lit(f'Content-Type: multipart/{kind}; boundary="{mark}"\r\n\r\n'), *inside, F.lit(f"--{mark}--\r\n"))
+
+    text = F.col("text")
+    inner = multipart("alternative", "c", leaf(F.lit("two")), leaf(F.lit("three")))
+    branched = multipart("mixed", "m", multipart("alternative", "a", leaf(text), inner), multipart("alternative", "d", leaf(F.lit("four")), leaf(F.lit("five"))))
+    layout = F.when(F.col("role") == "user", branched).when(
+        F.col("role") == "assistant", multipart("alternative", "a", leaf(text), leaf(F.lit("other")))).otherwise(leaf(text))
+    return t.select(root.alias("path"), F.encode(F.concat(F.lit("Subject: s\r\nMIME-Version: 1.0\r\n"), layout), "UTF-8").alias("content"))
+
+
+@query("mime_views", f"""
+WITH v AS (SELECT *, unnest(CASE role WHEN 'user' THEN [text || ' four', text || ' five', 'two four', 'three four', 'two five', 'three five']
+    WHEN 'assistant' THEN [text, 'other'] ELSE [text] END) AS body, unnest(range(1, CASE role WHEN 'user' THEN 7 WHEN 'assistant' THEN 3 ELSE 2 END)) AS view FROM conversations)
+SELECT {_ROOT}, view::INTEGER AS view, sha256(trim(regexp_replace(body, '[\s\p{{Z}}]+', ' ', 'g'))) AS digest, false AS uncertain, false AS truncated FROM v""")
 def mime_views(spark, d):
-    parts = ops.ingest_eml(raw_messages(spark, d))["parts"]
-    return ops.mime_views(parts, ["root_id"]).groupBy("root_id").agg(F.count(F.lit(1)).alias("views"))
+    views = ops.mime_views(ops.ingest_eml(branched_messages(spark, d))["parts"], ["root_id"])
+    body = F.trim(F.regexp_replace("body", r"[\s\p{Z}]+", " "))
+    return views.select("root_id", "view", F.sha2(body, 256).alias("digest"), "uncertain", "truncated")

@@ -1,4 +1,4 @@
-"""One bounded walk over a raw message: bytes in, entity rows out.
+"""One walk over a raw message: bytes in, entity rows out.
 
 The walk only decodes. Identity, routing, authentication and attachment checks are column
 expressions over the exploded entity tables (``operators.mail``).
@@ -7,7 +7,6 @@ expressions over the exploded entity tables (``operators.mail``).
 from __future__ import annotations
 
 from email import policy
-from email.message import EmailMessage
 from email.parser import BytesParser
 from email.utils import getaddresses
 
@@ -15,7 +14,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_NODES, MAX_DEPTH, MAX_NESTED = 200, 3, 20
 NESTED_TYPES = ("message/rfc822", "message/global")
 
 _S = T.StringType()
@@ -32,23 +30,11 @@ ADDRESS_HEADERS = ("from", "to", "cc", "reply-to", "return-path")
 KEPT_HEADERS = (*ADDRESS_HEADERS, "subject", "authentication-results")
 
 
-class _TooManyNodes(Exception):
-    pass
-
-
 def _parse(raw: bytes):
-    seen = 0
-
-    def node(policy):
-        nonlocal seen
-        seen += 1
-        if seen > MAX_NODES:
-            raise _TooManyNodes
-        return EmailMessage(policy=policy)
-
+    """The message, and whether its nesting was too deep for the parser (then only its headers are read)."""
     try:
-        return BytesParser(policy=policy.default.clone(message_factory=node)).parsebytes(raw), False
-    except (_TooManyNodes, RecursionError):
+        return BytesParser(policy=policy.default).parsebytes(raw), False
+    except RecursionError:
         outer = BytesParser(policy=policy.default).parsebytes(raw, headersonly=True)
         outer.set_payload("")
         return outer, True
@@ -119,17 +105,13 @@ def _entity(message, path):
 
 
 def read_message(raw: bytes) -> list[dict]:
+    """One row for the message and one for each message attached to it, however deep."""
     message, limited = _parse(raw)
-    rows, queue, budget = [], [(message, ())], MAX_NESTED
+    rows, queue = [], [(message, ())]
     while queue:
         current, path = queue.pop(0)
         row, nested = _entity(current, path)
-        for i, child in enumerate(nested):
-            if len(path) >= MAX_DEPTH or budget <= 0:
-                row["warnings"].append("attached_message_limit")
-                break
-            budget -= 1
-            queue.append((child, (*path, i)))
+        queue += [(child, (*path, i)) for i, child in enumerate(nested)]
         row["warnings"] = sorted({*row["warnings"], *(["mime_limit"] if limited and not path else [])})
         rows.append(row)
     return rows

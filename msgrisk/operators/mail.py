@@ -226,25 +226,48 @@ def duplicate_headers(headers: DataFrame, key: list[str]) -> DataFrame:
     return named.groupBy(*key, "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def mime_views(parts: DataFrame, key: list[str], cap: int = 16) -> DataFrame:
-    """Renderings of a message with alternative branches, default first.
-
-    Each distinct branch path, shallow ones first, is one view on top of the default choice;
-    a part belongs to a view when its own branches agree with it. Parts per message are
-    bounded by ingestion, so a message's parts are one array.
+def mime_views(parts: DataFrame, key: list[str], limit: int = 1024) -> DataFrame:
+    """Renderings ``(key..., view, body, uncertain, truncated)`` of a message with alternative branches, default first.
+
+    Every choice of one branch for each group is a view: the first branches, then each part's own path on top of them
+    (shallow ones first), then all further choices in order. A part belongs to a view when all its steps agree with the
+    choice, so choices inside a branch that was not taken give equal texts. Views of equal text are one, and only as
+    uncertain as the most certain of them (``parts.uncertain``, if given). More than ``limit`` choices set ``truncated``;
+    those kept still cover every branch path that fits. A message's parts are one array, as its bytes were.
     """
-    bundle = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("part_ord", "content", "alternative_path"))).alias("_parts"))
-    paths = F.array_sort(F.array_distinct(F.transform("_parts", lambda p: F.struct(F.size(p["alternative_path"]).alias("depth"), p["alternative_path"].alias("path")))))
-    chosen = bundle.select(*key, "_parts", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("depth"), F.array().cast("array<struct<grp:int,branch:int>>").alias("path"))), paths)).alias("v"))
+    unsure = F.col("uncertain") if "uncertain" in parts.columns else F.lit(False)
+    part = F.struct("part_ord", "content", "alternative_path", unsure.alias("uncertain"))
+    bundle = parts.groupBy(*key).agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    steps = F.array_sort(F.array_distinct(F.flatten(F.transform("_parts", lambda p: p["alternative_path"]))))
+    bundle = bundle.withColumn("_steps", steps).withColumn("_groups", F.array_distinct(F.transform("_steps", lambda s: s["grp"])))
+    branches = F.transform("_groups", lambda g: F.transform(F.filter("_steps", lambda s: s["grp"] == g), lambda s: s["branch"]))
+    paths = F.array_sort(F.array_distinct(F.transform("_parts", lambda p: F.struct(F.size(p["alternative_path"]).alias("n"), p["alternative_path"].alias("path")))))
+    bundle = bundle.withColumns({"_branches": branches, "_paths": paths})
+
+    def on_path(path: Column) -> Column:
+        def branch(g: Column, i: Column) -> Column:
+            own = F.filter(path, lambda s: s["grp"] == g)
+            return F.when(F.size(own) > 0, F.get(own, F.lit(0))["branch"]).otherwise(F.get(F.get("_branches", i), F.lit(0)))
+
+        return F.transform("_groups", branch)
+
+    def grown(chosen: Column, options: Column) -> Column:
+        longer = F.flatten(F.transform(chosen, lambda c: F.transform(options, lambda b: F.concat(c, F.array(b)))))
+        return F.slice(longer, 1, limit)  # in order, so what is cut comes after all that is kept
+
+    start = F.array(F.array().cast("array<int>"))
+    every = F.aggregate("_branches", start, grown)
+    defaults = F.array(F.transform("_branches", lambda b: F.get(b, F.lit(0))))
+    picked = F.slice(F.array_distinct(F.concat(defaults, F.transform("_paths", lambda p: on_path(p["path"])), every)), 1, limit)
+    product = F.aggregate("_branches", F.lit(1.0), lambda n, b: n * F.size(b))
+    chosen = bundle.select(*key, "_parts", "_groups", (product > limit).alias("truncated"), F.posexplode(picked).alias("_ord", "_choice"))
 
     def rendered(p: Column) -> Column:
-        def agrees(step: Column) -> Column:
-            picked = F.filter("v.path", lambda s: s["grp"] == step["grp"])
-            return F.when(F.size(picked) > 0, F.exists(picked, lambda s: s["branch"] == step["branch"])).otherwise(step["branch"] == 0)
-
-        return F.forall(p["alternative_path"], agrees)
-
-    body = F.array_join(F.transform(F.filter("_parts", rendered), lambda p: p["content"]), "\n")
-    views = chosen.select(*key, "v.depth", "v.path", body.alias("body")).groupBy(*key, "body").agg(F.min(F.struct("depth", "path")).alias("_first"))
-    order = Window.partitionBy(*key).orderBy("_first")
-    return views.withColumn("view", F.row_number().over(order)).where(F.col("view") <= cap).drop("_first")
+        return F.forall(p["alternative_path"], lambda s: F.get("_choice", (F.array_position("_groups", s["grp"]) - 1).cast("int")) == s["branch"])
+
+    shown = chosen.withColumn("_shown", F.filter("_parts", rendered))
+    body = F.trim(F.array_join(F.transform("_shown", lambda p: p["content"]), "\n"))
+    views = shown.select(*key, "_ord", "truncated", body.alias("body"), F.exists("_shown", lambda p: p["uncertain"]).alias("uncertain"))
+    once = views.groupBy(*key, "body").agg(F.min("_ord").alias("_ord"), F.bool_and("uncertain").alias("uncertain"), F.first("truncated").alias("truncated"))
+    # At most `limit` views share a message.
+    return once.withColumn("view", F.row_number().over(Window.partitionBy(*key).orderBy("_ord"))).select(*key, "view", "body", "uncertain", "truncated")

@@ -45,20 +45,45 @@ def analyze_messages(
     )
     parsed = materialize(parsed_html.unionByName(plain))
     unsure = F.col("style_hides") | F.col("uncertain_style")
-    # Text that a style sheet may hide is never scored as prose; targets still are.
-    scored = parsed.withColumn(
-        "text", rules.message_text("subject", F.when(unsure, F.lit("")).otherwise(F.col("text")))
-    )
     # Extracted once: both the counts and the findings read the narrow link table.
     found_links = materialize(pages.html_links(parsed, key))
+    # Text that a style sheet may hide is never scored as prose; targets still are.
+    texts = parsed.select(
+        *key, "subject", F.when(unsure, F.lit("")).otherwise(F.col("text")).alias("text"), "warnings", "padded", "password_form",
+        unsure.alias("rendering_uncertain"), "visible_chars",
+    )
+    verdicts = content_scores(texts, found_links, images, key, phrase_rules, known_hosts, urgency, threats)
+    if probability is None:
+        verdicts = verdicts.withColumn("probability", F.lit(None).cast("double"))
+    else:
+        verdicts = verdicts.join(probability, key, "left")
+    fused = fuse.abstain(fuse.fuse_risk(verdicts, "probability", threshold))
+    return fused.select(
+        *key, "total_score", "risk_floor", "rule_level", "risk_level", "combined_score", "fusion_basis", "analysis_complete",
+        "warnings", "kinds", "url_count",
+    )
+
+
+IMAGES = ["data_images", "remote_images", "unresolved_images"]
+
+
+def content_scores(
+    texts: DataFrame, found_links: DataFrame, images: DataFrame, key: list[str], phrase_rules: DataFrame,
+    known_hosts: list[str] = (), urgency: list[str] | None = None, threats: list[str] | None = None,
+) -> DataFrame:
+    """Points, floor and warnings of each message's subject, text, links and images, before fusion.
+
+    ``texts(key..., subject, text, warnings, padded, password_form, rendering_uncertain, visible_chars)`` has one row for
+    each message, ``found_links`` its links and ``images`` its image counts. Sibling branches give small finding rows;
+    only those are shuffled by message.
+    """
+    scored = texts.withColumn("text", rules.message_text("subject", "text"))
+    host = links.hx.parse_destination("destination")["host"]
     url_counts = found_links.groupBy(*key).agg(
-        F.count_if(F.col("destination").rlike("(?i)^https?://")).alias("url_count"),
-        F.max(links.shortener_host(links.hx.parse_destination("destination")["host"])).alias("shortened"),
+        F.count_if(F.col("destination").rlike("(?i)^https?://")).alias("url_count"), F.max(links.shortener_host(host)).alias("shortened"),
     )
-    text_rows = scored.select(*key, "subject", "text", "warnings", "padded", "password_form", unsure.alias("rendering_uncertain"), "visible_chars")
-    whole = text_rows.join(url_counts, key, "left").na.fill({"url_count": 0, "shortened": False})
-    k = F.struct(*key).alias("k")
-    keyed = whole.select(k, "*")
+    whole = scored.join(url_counts, key, "left").na.fill({"url_count": 0, "shortened": False})
+    keyed = whole.select(F.struct(*key).alias("k"), "*")
     phrases = rules.keyword_rules(keyed.select("k", "text"), phrase_rules, "k").select(
         "k", F.concat(F.lit("phrases:"), "category").alias("kind"), F.col("score").alias("points"), F.lit("safe").alias("floor")
     )
@@ -77,29 +102,18 @@ def analyze_messages(
             for n, (c, p, f) in flags.items()
         ]))).alias("s"),
     ).select("k", "s.*")
-    link_rows = links.link_findings(found_links, key, list(known_hosts)).select(
-        F.struct(*key).alias("k"), F.concat(F.lit("link:"), "finding").alias("kind"), "points", "floor"
-    )
-    findings = phrases.unionByName(signals).unionByName(structural).unionByName(link_rows)
-    rolled = fuse.message_rollup(findings, ["k"])
-    verdicts = keyed.join(rolled, "k", "left").na.fill({"total_score": 0, "risk_floor": "safe"})
-    verdicts = verdicts.join(images, key, "left").na.fill(0, ["data_images", "remote_images", "unresolved_images"])
-    image_warnings = F.array_compact(F.array(*[
-        F.when(F.col(c) > 0, F.lit(c)) for c in ("data_images", "remote_images", "unresolved_images")
-    ]))
-    han = F.when(tx.substantial_han("text"), F.array(F.lit("han_text"))).otherwise(F.array().cast("array<string>"))
-    verdicts = verdicts.withColumns({
-        "warnings": F.array_distinct(F.concat("warnings", image_warnings, han)),
-        "remote_image_dominant": (F.col("remote_images") > 0) & (F.col("visible_chars") < pages.MIN_VISIBLE),
-        "rule_level": fuse.rule_verdict("total_score", "risk_floor"),
-    })
-    if probability is None:
-        verdicts = verdicts.withColumn("probability", F.lit(None).cast("double"))
-    else:
-        verdicts = verdicts.join(probability, key, "left")
-    fused = fuse.abstain(fuse.fuse_risk(verdicts, "probability", threshold))
-    empty = F.array().cast("array<string>")
-    return fused.select(
-        *key, "total_score", "risk_floor", "rule_level", "risk_level", "combined_score", "fusion_basis", "analysis_complete",
-        "warnings", F.coalesce("kinds", empty).alias("kinds"), "url_count",
+    found = links.link_findings(found_links, key, list(known_hosts))
+    link_rows = found.select(F.struct(*key).alias("k"), F.concat(F.lit("link:"), "finding").alias("kind"), "points", "floor")
+    rolled = fuse.message_rollup(phrases.unionByName(signals).unionByName(structural).unionByName(link_rows), ["k"])
+    # A target that cannot be read leaves the analysis incomplete.
+    malformed = found.where("finding = 'malformed-target'").select(*key, F.lit("malformed_link").alias("_malformed"))
+    verdicts = keyed.join(rolled, "k", "left").na.fill({"total_score": 0, "risk_floor": "safe"}).join(malformed, key, "left")
+    verdicts = verdicts.join(images, key, "left").na.fill(0, IMAGES)
+    told = [F.when(F.col(c) > 0, F.lit(c)) for c in IMAGES] + [F.col("_malformed"), F.when(tx.substantial_han("text"), F.lit("han_text"))]
+    return verdicts.select(
+        *key, "subject", "text", "url_count", "rendering_uncertain", "total_score", "risk_floor", *IMAGES,
+        F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"),
+        F.array_distinct(F.concat("warnings", F.array_compact(F.array(*told)))).alias("warnings"),
+        ((F.col("remote_images") > 0) & (F.col("visible_chars") < pages.MIN_VISIBLE)).alias("remote_image_dominant"),
+        fuse.rule_verdict("total_score", "risk_floor").alias("rule_level"),
     )
