@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(app_name: str = "msgrisk", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,11 +54,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it back.
 
-    For results of costly parsing that several branches use: columns can still be pruned.
+    For results of costly parsing that several branches use: columns can still be pruned. With ``schema`` the table is read
+    under other types that are stored alike.
     """
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(folder)
