@@ -25,7 +25,7 @@ def wilson_high(successes, total) -> Column:
 
 
 def _wilson(successes, total, upper: bool) -> Column:
-    s, n = _col(successes).cast("double"), _col(total).cast("double")
+    s, n = _col(successes).cast("double"), F.nullif(_col(total).cast("double"), F.lit(0.0))
     rate, z2 = s / n, Z95 * Z95
     denominator = 1 + z2 / n
     center = (rate + z2 / (2 * n)) / denominator

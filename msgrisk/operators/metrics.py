@@ -36,8 +36,8 @@ def pr_curve(scored: DataFrame, label: str = "label", score: str = "score") -> D
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
-    """Sum of recall steps times precision; a step is the group's own positives."""
-    step = F.col("pos") / F.col("positives")
+    """Sum of recall steps times precision; a step is the group's own positives. Null without positives."""
+    step = ratio("pos", "positives")
     return curve.agg(F.sum(step * F.col("precision")).alias("average_precision"))
 
 
