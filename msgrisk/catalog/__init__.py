@@ -7,7 +7,7 @@ from importlib import import_module
 from msgrisk.catalog.registry import ORACLE, QUERIES
 
 for _area in ("corpus", "metrics", "evaluation", "text", "history", "pages", "sender", "messages", "mail", "posture",
-              "reviews", "terms", "threads", "build"):
+              "reviews", "terms", "threads", "build", "cases"):
     try:
         import_module(f"msgrisk.catalog.{_area}")
     except ModuleNotFoundError as missing:  # pragma: no cover - only while an area is absent

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from msgrisk.functions import text as tx
 
 CSV = {"header": "true", "multiLine": "true", "escape": '"', "mode": "PERMISSIVE"}
+# Fixed value: subjects of mailbox records that are no messages.
 CONTROL_RECORDS = r"(?i)FOLDER INTERNAL DATA|MAILER-DAEMON|DELIVERY FAILURE"
 
 

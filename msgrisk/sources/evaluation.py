@@ -14,6 +14,7 @@ EVAL_SCHEMA = ("id STRING, source_id STRING, provider STRING, label STRING, lang
                "body STRING, raw_email STRING, eml_path STRING, content_sha256 STRING, _corrupt STRING")
 MANIFEST_SCHEMA = ("schema_version INT, records STRING, exploratory_only BOOLEAN, "
                    "sources ARRAY<STRUCT<id: STRING, url: STRING, revision: STRING, license: STRING, label_basis: STRING>>")
+# Fixed value: the form of a record's id.
 _ID = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 
 
