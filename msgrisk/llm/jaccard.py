@@ -23,12 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgrisk.llm.common import Scratch, arrow_map, mix, slices
 from msgrisk.operators.corpus import connected_groups
-from msgrisk.session import materialize
+from msgrisk.operators.scale import ordered_within_key
 
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 #: Tokens that one part of a block of a cluster holds, and what every set adds to its own.
@@ -115,16 +115,16 @@ def _frequent(sets: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield count()
 
-    counted = materialize(arrow_map(sets.select("tokens"), work, "token long, cnt long").groupBy("token").agg(F.sum("cnt").alias("cnt")))
+    scratch = Scratch(sets.sparkSession)
+    counted = scratch.keep(arrow_map(sets.select("tokens"), work, "token long, cnt long").groupBy("token").agg(F.sum("cnt").alias("cnt")))
     steps = counted.groupBy(F.floor(F.log2("cnt") * 8).alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
     least, total = 0, 0
     for row in steps:  # a few hundred rows at most
         if total + row["n"] > limit:
             break
         least, total = row["step"], total + row["n"]
-    if not total:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    kept = counted.where(F.floor(F.log2("cnt") * 8) >= least).toPandas()
+    kept = counted.where(F.floor(F.log2("cnt") * 8) >= (least if total else 1 << 30)).toPandas()
+    scratch.drop(counted)
     tokens, counts = kept["token"].to_numpy(dtype=np.int64).view(np.uint64), kept["cnt"].to_numpy(dtype=np.int64)
     order = np.argsort(tokens)
     return tokens[order], counts[order]
@@ -209,9 +209,9 @@ def _list_edges(entries: DataFrame, short: int, percent: int) -> DataFrame:
             new[0] = last is None or sig[0] != last
             new[1:] = sig[1:] != sig[:-1]
             starts = np.flatnonzero(new)
+            if not new[0]:  # the list goes on from the batch before, maybe through this whole batch
+                starts = np.insert(starts, 0, 0)
             ends = np.append(starts[1:], len(sig))
-            if not new[0]:
-                starts, ends = np.insert(starts, 0, 0), np.insert(ends, 0, starts[0] if len(starts) else len(sig))
             wanted = (ends - starts > 1) | (starts == 0) | (ends == len(sig))
             for a, b in zip(starts[wanted].tolist(), ends[wanted].tolist()):
                 if last is None or sig[a] != last:
@@ -243,8 +243,8 @@ def _list_edges(entries: DataFrame, short: int, percent: int) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.min("pair").alias("pair"))
 
 
-def _bounded(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Chains, and those pairs whose class counts allow a link."""
+def _bounded(edges: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Chains, and those pairs whose class counts allow a link; and the scratch table these are read from."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -256,12 +256,13 @@ def _bounded(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield {"u": [a for a, k in zip(rows["a"], keep) if k], "v": [b for b, k in zip(rows["b"], keep) if k]}
 
     counts = sets.where("n > 1").groupBy("sid").agg(F.first("n").alias("n"), F.first("classes").alias("c"))
-    counts = materialize(counts.join(edges.where("pair").select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid"))
+    counts = scratch.keep(counts.join(edges.where("pair").select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid"))
     pairs = (
         edges.where("pair").join(counts.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), "a")
         .join(counts.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "b")
     )
-    return arrow_map(pairs, work, "u long, v long").unionByName(edges.where("NOT pair").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    chains = edges.where("NOT pair").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return arrow_map(pairs, work, "u long, v long").unionByName(chains), counts
 
 
 def _filter_bits(spark, keys: DataFrame, bits: int = 26) -> np.ndarray:
@@ -274,8 +275,34 @@ def _filter_bits(spark, keys: DataFrame, bits: int = 26) -> np.ndarray:
     return out
 
 
-def _members(sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Sets of clustered rows, with their cluster and copies. A fixed-size bit filter drops most others unshuffled."""
+def _placed(sets: DataFrame, clusters: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """For every clustered set its block and the comparisons that need it (sid, cluster, block, jobs); and the table below.
+
+    Blocks of a cluster hold neighbouring sizes, and only pairs of blocks whose sizes allow a link are compared. Blocks are
+    cut by running sums over pieces of a cluster, so no task sums up a whole one. Nothing here carries tokens.
+    """
+    own = clusters.select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
+    sizes = sets.where("n > 1").groupBy("sid").agg(F.first("n").alias("n")).join(own, "sid").withColumns({
+        "_cost": F.col("n").cast("long") + BLOCK_FLOOR,
+        "_piece": F.col("n").cast("long") * 64 + F.shiftright("sid", 58) + 32,
+    })
+    summed = ordered_within_key(sizes, ["cluster"], ["n", "sid"], "_piece", running={"_cost": "_before_it"})
+    blocks = scratch.keep(summed.select("cluster", "sid", "n", F.floor(F.col("_before_it") / BLOCK_TOKENS).cast("int").alias("block")))
+    ranges = blocks.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = ranges.select("cluster", F.col("block").alias("high"), F.col("least").alias("high_least"))
+    jobs = ranges.join(other, "cluster").where((F.col("high") >= F.col("block")) & (F.col("most") * 100 >= percent * F.col("high_least")))
+    job = F.struct(F.col("block").alias("low"), "high")
+    sides = jobs.select("cluster", job.alias("job"), F.explode(F.array_distinct(F.array("block", "high"))).alias("block"))
+    wanted = sides.groupBy("cluster", "block").agg(F.collect_list("job").alias("jobs"))
+    return blocks.join(wanted, ["cluster", "block"]).select("sid", "cluster", "block", "jobs"), blocks
+
+
+def _members(sets: DataFrame, clusters: DataFrame, placed: DataFrame) -> DataFrame:
+    """Sets of clustered rows, with their copies, once for each comparison of their block.
+
+    A fixed-size bit filter drops most others unshuffled; tokens move by set once, where they meet their block, and then to
+    the comparisons.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(_filter_bits(sets.sparkSession, clusters))
     bits = int(np.log2(len(shared.value) * 64))
 
@@ -284,12 +311,14 @@ def _members(sets: DataFrame, clusters: DataFrame) -> DataFrame:
         for batch in batches:
             place = batch.column("place").to_numpy(zero_copy_only=False)
             keep = (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield batch.select(["sid", "n", "tokens"]).filter(pa.array(keep))
+            yield batch.select(["sid", "tokens"]).filter(pa.array(keep))
 
-    placed = sets.where("n > 1").select("sid", "n", "tokens", F.pmod(F.xxhash64("sid"), F.lit(1 << bits)).alias("place"))
-    likely = placed.mapInArrow(work, "sid long, n int, tokens binary")
-    own = clusters.select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
-    return likely.groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")).join(own, "sid")
+    located = sets.where("n > 1").select("sid", "tokens", F.pmod(F.xxhash64("sid"), F.lit(1 << bits)).alias("place"))
+    likely = located.mapInArrow(work, "sid long, tokens binary")
+    whole = likely.groupBy("sid").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
+    # Both sides lie by sid: a merge join moves no tokens, whatever the sizes.
+    met = whole.hint("merge").join(placed.hint("merge"), "sid")
+    return met.select("cluster", "block", "sid", "copies", "tokens", F.explode("jobs").alias("job")).select("*", "job.low", "job.high").drop("job")
 
 
 def compare_block(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -369,17 +398,7 @@ def _verify(members: DataFrame, percent: int) -> DataFrame:
         if out:
             yield table()
 
-    # Blocks of a cluster hold neighbouring sizes; only pairs of blocks whose sizes allow a link are compared.
-    cost = F.sum(F.col("n") + BLOCK_FLOOR).over(Window.partitionBy("cluster").orderBy("n", "sid").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = materialize(members.select("cluster", "sid", "n").withColumn("block", F.coalesce(F.floor(cost / BLOCK_TOKENS), F.lit(0)).cast("int")))
-    ranges = blocks.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = ranges.select("cluster", F.col("block").alias("high"), F.col("least").alias("high_least"))
-    jobs = ranges.join(other, "cluster").where((F.col("high") >= F.col("block")) & (F.col("most") * 100 >= percent * F.col("high_least")))
-    jobs = jobs.select("cluster", F.col("block").alias("low"), "high")
-    sides = jobs.select("cluster", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-    located = blocks.select("cluster", "sid", "block").join(sides, ["cluster", "block"])
-    work_rows = members.select("sid", "tokens", "copies").join(located, "sid")
-    grouped = work_rows.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "block", "sid")
+    grouped = members.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "block", "sid")
     return arrow_map(grouped, work, "sid long, root long, links long")
 
 
@@ -396,17 +415,21 @@ def ngram_components(
     ``frequent_tokens`` bounds the broadcast order of tokens, not what is found. With ``row_key`` also rid, the row's
     xxhash64 of doc_id and text, and whether the row is the one of its component that stays.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50: below, a set of one n-gram can link with a larger one")
     scratch = Scratch(docs.sparkSession)
     sets = scratch.keep(_sets(docs, words))
     rows = scratch.keep(sets.select("doc_id", "rid", "n", "sid"))
     frequent = _frequent(sets.where("n > 1"), frequent_tokens)
     hot = max(256, int(hot_share * rows.count()))
     edges = scratch.keep(_list_edges(_index_entries(sets, frequent, hot, percent), short_list, percent))
-    clusters = scratch.keep(connected_groups(_bounded(edges, sets, percent)))
-    members = scratch.keep(_members(sets, clusters))
-    scratch.drop(sets, edges)
-    links = scratch.keep(_verify(members, percent))
-    scratch.drop(members, clusters)
+    allowed, counts = _bounded(edges, sets, percent, scratch)
+    clusters = scratch.keep(connected_groups(allowed))
+    scratch.drop(counts)
+    scratch.drop(edges)
+    placed, blocks = _placed(sets, clusters, percent, scratch)
+    links = scratch.keep(_verify(_members(sets, clusters, placed), percent))
+    scratch.drop(sets, clusters, blocks)
     parts = connected_groups(links.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     linked = links.groupBy("sid").agg(F.sum("links").alias("_links")).join(
         parts.select(F.col("node").alias("sid"), F.col("component").alias("_part")), "sid"
@@ -414,7 +437,7 @@ def ngram_components(
     last = F.lit((1 << 63) - 1)
     row = F.struct(F.coalesce("doc_id", last).alias("doc_id"), "rid")
     by_set = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min(row).alias("_least"), F.count(F.lit(1)).alias("_copies"))
-    named = materialize(by_set.join(linked, "sid", "left").withColumn("_part", F.coalesce("_part", "sid")))
+    named = scratch.keep(by_set.join(linked, "sid", "left").withColumn("_part", F.coalesce("_part", "sid")))
     least = named.groupBy("_part").agg(F.min("_least").alias("_first"))
     by_set = named.join(least, "_part").select("sid", "_first", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links"))
     first = F.when(F.col("sid").isNull(), row).otherwise(F.col("_first"))

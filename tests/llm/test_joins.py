@@ -74,6 +74,17 @@ def test_ngram_components(spark, monkeypatch, short, hot):
     assert ngram_components(table.limit(0)).count() == 0
 
 
+def test_list_over_several_batches(spark):
+    """Twelve words in every text and two of its own: one index list holds thousands of entries."""
+    texts = [" ".join([f"c{k}" for k in range(12)] + [f"a{i}", f"b{i}"]) for i in range(3000)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = ngram_components(table, percent=60).groupBy("component_id", "n_links").count().collect()
+    # 8 of 10 runs are shared: 8 of 12 in all, over 60 % for any two texts.
+    assert [(r[0], r[1], r[2]) for r in found] == [(0, 2999, 3000)]
+    with pytest.raises(ValueError):
+        ngram_components(table, percent=50)
+
+
 def test_blocks_and_bounds():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, size=rng.integers(1, 40)).astype(np.uint64) << np.uint64(57)) for _ in range(30)]
