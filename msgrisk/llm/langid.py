@@ -176,7 +176,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     ok = np.arange(steps)[None, :] < filled[:, None]
     padded = np.where(ok[:, :, None], scores[np.where(ok, at, 0)], np.float32(0))
     value = np.where(np.eye(states, dtype=bool), np.float32(0), np.float32(-1e9))[None].repeat(total, 0)
-    source = np.empty((steps, total, states), dtype=np.int8)
+    source = np.empty((steps, total, states), dtype=np.int16)
     turned = np.empty((steps, total, states, states), dtype=bool)
     for t in range(steps):
         source[t] = value.argmax(2)
@@ -201,7 +201,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
         last[k] = state[live]
         enter[k] = choice[k, state[live]]
         state[live] = enter[k]
-    path = np.empty((total, steps), dtype=np.int8)
+    path = np.empty((total, steps), dtype=np.int16)
     rows, now = np.arange(total), last.copy()
     for t in range(steps - 1, -1, -1):
         path[:, t] = now
@@ -220,7 +220,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, penalty: float = 6
     keep = ["doc_id"] if keep is None else keep
     shared = spark.sparkContext.broadcast(model)
     size = max(1, len(model.languages))
-    chars = max(50_000, 2_000_000 * 16 // max(16, size * size))
+    chars = max(5_000, 2_000_000 * 16 // max(16, size * size))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         found = shared.value

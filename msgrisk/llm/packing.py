@@ -100,14 +100,15 @@ def pack_sequences(
         encode = encoder(tokenizer).encode
         first = TaskContext.get().partitionId() << 40
         serial = 0
-        pending: list[tuple] = []  # (doc_id, start, ids, document's length)
+        pending: list[tuple] = []  # ((doc_id, row), start, ids, document's length)
+        row = 0
         held = 0
         rows: list[tuple] = []
 
         def place(items: list[tuple]) -> None:
             nonlocal serial
             at = 0
-            for doc, start, ids, total in items:
+            for (doc, _), start, ids, total in items:
                 size = len(ids) // 4
                 rows.append((doc, start, size, zlib.crc32(ids), total, first + serial, at, ids if with_ids else None))
                 at += size
@@ -116,11 +117,11 @@ def pack_sequences(
         def deal() -> None:
             nonlocal held
             pieces = []
-            for doc, start, ids, total in pending:
+            for owner, start, ids, total in pending:
                 count = len(ids) // 4
                 a = 0
                 for size in halves(count, largest, smallest):
-                    pieces.append((doc, start + a, ids[a * 4 : (a + size) * 4], total))
+                    pieces.append((owner, start + a, ids[a * 4 : (a + size) * 4], total))
                     a += size
             for part in windows_of([len(x[2]) // 4 for x in pieces], capacity):
                 place(joined([pieces[i] for i in sorted(part)]))
@@ -137,13 +138,14 @@ def pack_sequences(
         for part in slices(batches, "text"):
             for doc, text in zip(part["doc_id"], part["text"]):
                 ids = encode(text) + end
+                owner, row = (doc, row), row + 1
                 count = len(ids) // 4
                 whole = count // capacity * capacity
                 for a in range(0, whole, capacity):
-                    place([(doc, a, ids[a * 4 : (a + capacity) * 4], count)])
+                    place([(owner, a, ids[a * 4 : (a + capacity) * 4], count)])
                 while whole < count:
                     take = min(count - whole, target - held)
-                    pending.append((doc, whole, ids[whole * 4 : (whole + take) * 4], count))
+                    pending.append((owner, whole, ids[whole * 4 : (whole + take) * 4], count))
                     whole += take
                     held += take
                     if held == target:
@@ -159,7 +161,7 @@ def pack_sequences(
 
 
 def joined(pieces: list[tuple]) -> list[tuple]:
-    """Neighbouring pieces of one document as one piece."""
+    """Neighbouring pieces of one row (the first element names it) as one piece."""
     out: list[tuple] = []
     for doc, start, ids, total in pieces:
         if out and out[-1][0] == doc and out[-1][3] == total and out[-1][1] + len(out[-1][2]) // 4 == start:
