@@ -32,7 +32,9 @@ BLOCK = set(
     "select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style title textarea noscript template iframe svg math object audio video canvas".split())
+SILENT = set("script style title textarea noscript template iframe svg object audio video canvas".split())
+#: Without an end tag these hold the rest of the page; any other silent element is then taken for a stray tag.
+RAW = {"script", "style"}
 #: Opening one of these ends an open element of the set, up to the nearest of the bounds.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
@@ -114,8 +116,8 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if tag in SILENT:
             if not attributes.endswith("/"):
-                end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+                end = re.compile(f"</{tag}(?![^\\s/>])[^>]*>", re.I).search(page, at)
+                at = end.end() if end else size if tag in RAW else at
             continue
         if tag == "a":
             links = 1
@@ -275,6 +277,10 @@ def _wrap(spec: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
     return tuple((x.split(".")[0], tuple(x.split(".")[1:])) for x in spec.split())
 
 
+#: Class words of other parts of a page; those left out also name parts of articles.
+_OTHER_WORDS = {w for specs in OTHERS.values() for spec in specs for _, words in _wrap(spec) for w in words} - {"top", "side", "more", "bottom", "meta"}
+
+
 def own_labels(blocks: list[Block]) -> list[int] | None:
     """Labels that a page's article or main element tells; None without one."""
     if not any(tag in ("article", "main") for _, path, _ in blocks for tag, _ in path):
@@ -286,7 +292,7 @@ def own_labels(blocks: list[Block]) -> list[int] | None:
         for tag, words in path:
             if tag in ("article", "main") and not set(words) & {"comment", "comments", "teaser", "card"}:
                 inside = True
-            elif tag in ("nav", "aside", "footer", "form", "button", "select", "dialog") or any("." + w in " ".join(sum(OTHERS.values(), [])) and w not in ("top", "side", "more", "bottom", "meta") for w in words):
+            elif tag in ("nav", "aside", "footer", "form", "button", "select", "dialog") or _OTHER_WORDS & set(words):
                 inside = False
             elif tag == "header" and not any(t[0] == "h" and t[1:].isdigit() for t in tags):
                 inside = False
