@@ -12,17 +12,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgrisk.llm.common import Memo, Scratch, arrow_map, slices
-from msgrisk.llm.tokens import TextEncoder
+from msgrisk.llm.tokens import LETTER, TextEncoder
 from msgrisk.operators.scale import salted_join
 
 #: Rows of the table of linked id pairs up to which it is broadcast (17 bytes each); beyond, it is joined.
@@ -30,8 +33,11 @@ BROADCAST_PAIRS = 2_000_000
 #: Different pairs a task gathers before it passes them on.
 GATHERED_PAIRS = 1_000_000
 _MARK = "▁"
-# A chunk ends before one blank or line feed that stands between two characters that are not white space.
-_CHUNKS = re.compile(r"\s*\S*(?:(?![ \n]\S)\s+\S*)*")
+# A chunk ends before one blank or line feed that stands between two characters that are not white space, and between a
+# word of Latin letters and a mark.
+_CHUNKS = re.compile(rf"[ \n]?{LETTER}+(?=[ \n]\S|[.,;:!?|]|\Z)|\s*\S*(?:(?![ \n]\S)\s+\S*)*")
+# How the byte-level file cuts a text before it merges.
+_WORDS_OF_A = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class PairEncoder:
@@ -56,40 +62,56 @@ class PairEncoder:
             if not (self.b.is_control(i) or self.b.is_unknown(i)):
                 self.bytes_b[i] = bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(_MARK, " ").encode()
         spelled = [self.b.id_to_piece(i) for i in self.bytes_b if not self.b.is_byte(i)]
-        self.mark = self.b.piece_to_id(_MARK)
-        # Chunks are safe if no piece holds a mark after another character, or a line feed at all.
-        self.chunked = bool(self.mark) and not any(_MARK in p.lstrip(_MARK) or "\n" in p for p in spelled)
+        self.mark, self.feed = self.b.piece_to_id(_MARK), self.b.piece_to_id("<0x0A>")
+        # Chunks are safe if no piece reaches over one of their edges: none holds a blank's mark behind another character, a
+        # mark behind a letter, or a line feed.
+        crossed = re.compile(rf"{LETTER}[.,;:!?|]|[^{_MARK}]{_MARK}|\n")
+        self.chunked = self.mark in self.bytes_b and self.feed in self.bytes_b and not any(map(crossed.search, spelled))
         self.size_b = self.b.get_piece_size()
         self.lengths_a, self.lengths_b = (
             np.asarray([len(table.get(i, b"")) for i in range(size)], dtype=np.int64)
             for table, size in ((self.bytes_a, self.a.vocabulary), (self.bytes_b, self.size_b))
         )
-        self.cache = Memo(self._chunk, limit=150_000)
-
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes] | None:
-        """Ids of a chunk that begins with a blank (or a line feed, which the model precedes by a mark of its own)."""
-        a = self.a.library.encode(chunk, add_special_tokens=False).ids
-        if chunk[0] == " ":
-            b = self.b.encode(chunk[1:])
-        else:
-            b = self.b.encode(chunk)
-            if b[:1] != [self.mark]:
-                return None
-            b = b[1:]
-        raw = chunk.encode()
-        if b"".join(self.bytes_a.get(i, b"") for i in a) != raw or b"".join(self.bytes_b.get(i, b"") for i in b) != raw:
-            return None
-        return np.asarray(a, dtype="<u4").tobytes(), np.asarray(b, dtype="<u4").tobytes()
+        # The same merges as in the file: a merged token's number is its rank, so ranked merging gives the library's ids.
+        self.ranked = tiktoken.Encoding("a", pat_str=_WORDS_OF_A, mergeable_ranks={raw: i for i, raw in self.bytes_a.items()}, special_tokens={})
+        self.cache = Memo(lambda chunk: self._chunks([chunk])[0])
+
+    def _ids_b(self, chunks: list[str]) -> list[list[int]]:
+        """A chunk that begins with a blank is encoded without it, as the model puts one in front; any other is kept away from
+        that blank by a line feed, and both are dropped."""
+        asked = [c[1:] if c[0] == " " else c if c[0] == "\n" else "\n" + c for c in chunks]
+        drop = [0 if c[0] == " " else 1 if c[0] == "\n" else 2 for c in chunks]
+        found = self.b.encode(asked, num_threads=1)
+        return [ids[n:] if ids[:n] == [self.mark, self.feed][:n] else [] for ids, n in zip(found, drop)]
+
+    def _chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both tokenizers for each chunk, none where their bytes are not the chunk's."""
+        ids = list(map(self.ranked.encode_ordinary, chunks)), self._ids_b(chunks)
+        raw = [c.encode() for c in chunks]
+        good = [True] * len(chunks)
+        for own, table in zip(ids, (self.bytes_a, self.bytes_b)):
+            spelled = [b"".join(map(table.__getitem__, x)) for x in own] if all(map(table.keys().__contains__, chain.from_iterable(own))) else [
+                b"".join(table.get(i, b"") for i in x) for x in own]
+            if spelled != raw:
+                good = [g and a == b for g, a, b in zip(good, spelled, raw)]
+        return [(array("I", a).tobytes(), array("I", b).tobytes()) if g else None for g, a, b in zip(good, *ids)]
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
+        """Each text's ids; chunks that are not in the cache are encoded together."""
+        cut = [[] if not t else [c for c in _CHUNKS.findall(" " + t) if c] if self.chunked else [" " + t] for t in texts]
+        new = list(set().union(*cut) - self.cache.keys())
+        known = dict(zip(new, self._chunks(new))) if new else {}
+        for chunk, ids in known.items():
+            self.cache.offer(chunk, ids)
+        known.update((c, self.cache[c]) for c in set().union(*cut) - known.keys())
+        out: list[tuple[bytes, bytes] | None] = []
+        for chunks in cut:
+            found = list(map(known.__getitem__, chunks))
+            out.append(None if not found or None in found else (b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
+        return out
 
     def encode(self, text: str | None) -> tuple[bytes, bytes] | None:
-        if not text:
-            return None
-        spaced = " " + text
-        chunks = [c for c in _CHUNKS.findall(spaced) if c] if self.chunked else [spaced]
-        found = list(map(self.cache.__getitem__, chunks))
-        if None in found:
-            return None
-        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -130,7 +152,9 @@ def cut_groups(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, firs
         leaves.append(spans[cutless])
         spans, cut_a, cut_b = spans[~cutless], cut_a[~cutless] + 1, cut_b[~cutless] + 1
         a0, a1, b0, b1 = spans.T
-        spans = np.concatenate([np.column_stack([a0, cut_a, b0, cut_b]), np.column_stack([cut_a, a1, cut_b, b1])])
+        halves = np.empty((2 * len(spans), 4), dtype=np.int64)  # in order, so the next look-ups run forward
+        halves[0::2], halves[1::2] = np.column_stack([a0, cut_a, b0, cut_b]), np.column_stack([cut_a, a1, cut_b, b1])
+        spans = halves
     out = np.concatenate(leaves) if leaves else np.zeros((0, 4), dtype=np.int64)
     return out[np.argsort(out[:, 0], kind="stable")]
 
@@ -172,7 +196,7 @@ _ROWS = "rid long, n_a long, n_b long, n_groups long, n_links long, groups_sha25
 
 def align_block(texts: list[str | None], encoder: PairEncoder, with_groups: bool) -> dict[str, list]:
     """Counts, digest and linked id pairs (sorted, with their number) of every text."""
-    encoded = [encoder.encode(t) for t in texts]
+    encoded = encoder.encode_all(texts)
     there = [i for i, e in enumerate(encoded) if e]
     out: dict[str, list] = {c: [0] * len(texts) for c in ("n_a", "n_b", "n_groups", "n_links")}
     out |= {"groups_sha256": [""] * len(texts), "pairs": [b""] * len(texts), "times": [b""] * len(texts), "groups": [None] * len(texts)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -50,6 +51,7 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     target = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin_task(work.__module__)
         for columns in work(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[n], type=target.field(n).type, from_pandas=False) for n in names], schema=target
@@ -59,18 +61,47 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 class Memo(dict):
-    """A cache of a pure function of a string; it stops growing at ``limit`` entries, results never depend on it."""
+    """A cache of a pure function of a string; it stops growing at about ``limit`` bytes, results never depend on it."""
 
-    def __init__(self, work: Callable[[str], Any], limit: int = 400_000, longest: int = 64):
+    known: list[weakref.ref[Memo]] = []
+
+    def __init__(self, work: Callable[[str], Any], limit: int = 48 << 20, longest: int = 64):
         super().__init__()
-        self.work, self.limit, self.longest = work, limit, longest
+        self.work, self.limit, self.longest, self.size = work, limit, longest, 0
+        Memo.known.append(weakref.ref(self))
 
     def __missing__(self, key: str) -> Any:
         value = self.work(key)
-        if len(self) < self.limit and len(key) <= self.longest:
-            self[key] = value
+        self.offer(key, value)
         return value
 
+    def offer(self, key: str, value: Any) -> None:
+        """Keep a value if there is room."""
+        if self.size < self.limit and len(key) <= self.longest:
+            # The two strings, what a tuple adds, and a slot of the table.
+            self.size += 2 * len(key) + 250 + (len(value) if isinstance(value, bytes) else sum(map(len, value or ())) + 100)
+            self[key] = value
+
+    @classmethod
+    def forget(cls) -> None:
+        """Empty all caches of this process."""
+        for ref in cls.known:
+            cache = ref()
+            if cache is not None:
+                cache.clear()
+                cache.size = 0
+
+
+_last_work: str | None = None
+
+
+def _begin_task(work: str) -> None:
+    """A worker process serves many operators in turn: what one has cached goes when another begins."""
+    global _last_work
+    if _last_work != work:
+        Memo.forget()
+        _last_work = work
+
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit mixer (splitmix64 finalizer) over unsigned integers."""

@@ -27,10 +27,10 @@ from msgrisk.llm.common import Memo
 _SPACE = r"[^\S\x1c-\x1f]"
 _SOLID = r"[\S\x1c-\x1f]"
 # Letters that are one pre-token with what follows them below: all composed, so normalization leaves them alone.
-_LETTER = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]"
-_BYTE_PIECES = re.compile(rf" ?{_LETTER}+(?=[ \n.,;:!?|]|$)| ?{_SOLID}+|{_SPACE}+(?!{_SOLID})|{_SPACE}")
-_WORD_PIECES = re.compile(rf"{_LETTER}+(?=[ \n.,;:!?|]|$)|{_SOLID}+")
-_LETTERS_ONLY = re.compile(f" ?{_LETTER}+")
+LETTER = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]"
+_BYTE_PIECES = re.compile(rf" ?{LETTER}+(?=[ \n.,;:!?|]|$)| ?{_SOLID}+|{_SPACE}+(?!{_SOLID})|{_SPACE}")
+_WORD_PIECES = re.compile(rf"{LETTER}+(?=[ \n.,;:!?|]|$)|{_SOLID}+")
+_LETTERS_ONLY = re.compile(f" ?{LETTER}+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -69,7 +69,7 @@ class TextEncoder:
                 self.kind = "word"
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.stand_ins = _byte_letters()
-        self.cache = Memo(self._piece_ids, limit=1_000_000)
+        self.cache = Memo(self._piece_ids)
 
     def _piece_ids(self, piece: str) -> bytes:
         """A run of letters is one pre-token and goes to the library's model at once; any other piece takes all steps."""
