@@ -78,13 +78,21 @@ def _pairs_of(tokens: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """A row for each document; of equal sets in a task the first carries the tokens, the others (mostly) none."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen: set[int] = set()
         for part in slices(batches, "text"):
             found = [shingles(t, words) for t in part["text"]]
+            sids = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in found]
+            first = []
+            for sid in sids:
+                first.append(sid is not None and sid not in seen)
+                if first[-1] and len(seen) < 300_000:
+                    seen.add(sid)
             yield {
-                "doc_id": part["doc_id"], "rid": part["rid"], "n": [len(x) for x in found],
-                "sid": [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in found],
-                "classes": [classes(x) if len(x) else b"" for x in found], "tokens": [x.tobytes() for x in found],
+                "doc_id": part["doc_id"], "rid": part["rid"], "n": [len(x) for x in found], "sid": sids,
+                "classes": [classes(x) if f else b"" for x, f in zip(found, first)], "tokens": [x.tobytes() if f else b"" for x, f in zip(found, first)],
             }
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("rid"))
@@ -255,7 +263,7 @@ def _bounded(edges: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
             ]
             yield {"u": [a for a, k in zip(rows["a"], keep) if k], "v": [b for b, k in zip(rows["b"], keep) if k]}
 
-    counts = sets.where("n > 1").groupBy("sid").agg(F.first("n").alias("n"), F.first("classes").alias("c"))
+    counts = sets.where("n > 1").groupBy("sid").agg(F.first("n").alias("n"), F.max("classes").alias("c"))
     counts = scratch.keep(counts.join(edges.where("pair").select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid"))
     pairs = (
         edges.where("pair").join(counts.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), "a")
@@ -276,29 +284,29 @@ def _filter_bits(spark, keys: DataFrame, bits: int = 26) -> np.ndarray:
 
 
 def _placed(sets: DataFrame, clusters: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """For every clustered set its block and the comparisons that need it (sid, cluster, block, jobs); and the table below.
+    """For every clustered set its block, its copies and the comparisons that need it (sid, cluster, block, copies, jobs); and the table below.
 
     Blocks of a cluster hold neighbouring sizes, and only pairs of blocks whose sizes allow a link are compared. Blocks are
     cut by running sums over pieces of a cluster, so no task sums up a whole one. Nothing here carries tokens.
     """
     own = clusters.select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
-    sizes = sets.where("n > 1").groupBy("sid").agg(F.first("n").alias("n")).join(own, "sid").withColumns({
+    sizes = sets.where("n > 1").groupBy("sid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")).join(own, "sid").withColumns({
         "_cost": F.col("n").cast("long") + BLOCK_FLOOR,
         "_piece": F.col("n").cast("long") * 64 + F.shiftright("sid", 58) + 32,
     })
     summed = ordered_within_key(sizes, ["cluster"], ["n", "sid"], "_piece", running={"_cost": "_before_it"})
-    blocks = scratch.keep(summed.select("cluster", "sid", "n", F.floor(F.col("_before_it") / BLOCK_TOKENS).cast("int").alias("block")))
+    blocks = scratch.keep(summed.select("cluster", "sid", "n", "copies", F.floor(F.col("_before_it") / BLOCK_TOKENS).cast("int").alias("block")))
     ranges = blocks.groupBy("cluster", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     other = ranges.select("cluster", F.col("block").alias("high"), F.col("least").alias("high_least"))
     jobs = ranges.join(other, "cluster").where((F.col("high") >= F.col("block")) & (F.col("most") * 100 >= percent * F.col("high_least")))
     job = F.struct(F.col("block").alias("low"), "high")
     sides = jobs.select("cluster", job.alias("job"), F.explode(F.array_distinct(F.array("block", "high"))).alias("block"))
     wanted = sides.groupBy("cluster", "block").agg(F.collect_list("job").alias("jobs"))
-    return blocks.join(wanted, ["cluster", "block"]).select("sid", "cluster", "block", "jobs"), blocks
+    return blocks.join(wanted, ["cluster", "block"]).select("sid", "cluster", "block", "copies", "jobs"), blocks
 
 
 def _members(sets: DataFrame, clusters: DataFrame, placed: DataFrame) -> DataFrame:
-    """Sets of clustered rows, with their copies, once for each comparison of their block.
+    """Clustered sets, once for each comparison of their block.
 
     A fixed-size bit filter drops most others unshuffled; tokens move by set once, where they meet their block, and then to
     the comparisons.
@@ -313,12 +321,14 @@ def _members(sets: DataFrame, clusters: DataFrame, placed: DataFrame) -> DataFra
             keep = (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
             yield batch.select(["sid", "tokens"]).filter(pa.array(keep))
 
-    located = sets.where("n > 1").select("sid", "tokens", F.pmod(F.xxhash64("sid"), F.lit(1 << bits)).alias("place"))
+    located = sets.where("n > 1 AND length(tokens) > 0").select("sid", "tokens", F.pmod(F.xxhash64("sid"), F.lit(1 << bits)).alias("place"))
     likely = located.mapInArrow(work, "sid long, tokens binary")
-    whole = likely.groupBy("sid").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
+    whole = likely.groupBy("sid").agg(F.first("tokens").alias("tokens"))
     # Both sides lie by sid: a merge join moves no tokens, whatever the sizes.
     met = whole.hint("merge").join(placed.hint("merge"), "sid")
-    return met.select("cluster", "block", "sid", "copies", "tokens", F.explode("jobs").alias("job")).select("*", "job.low", "job.high").drop("job")
+    rows = met.select("cluster", "block", "sid", "copies", "tokens", F.explode("jobs").alias("job")).select("*", "job.low", "job.high").drop("job")
+    # Sets of a cluster are alike: written one behind the other they compress.
+    return rows.sortWithinPartitions("cluster", "low", "high", "block", "sid")
 
 
 def compare_block(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -420,9 +430,10 @@ def ngram_components(
     scratch = Scratch(docs.sparkSession)
     sets = scratch.keep(_sets(docs, words))
     rows = scratch.keep(sets.select("doc_id", "rid", "n", "sid"))
-    frequent = _frequent(sets.where("n > 1"), frequent_tokens)
+    told = sets.where("length(tokens) > 0")
+    frequent = _frequent(told.where("n > 1"), frequent_tokens)
     hot = max(256, int(hot_share * rows.count()))
-    edges = scratch.keep(_list_edges(_index_entries(sets, frequent, hot, percent), short_list, percent))
+    edges = scratch.keep(_list_edges(_index_entries(told, frequent, hot, percent), short_list, percent))
     allowed, counts = _bounded(edges, sets, percent, scratch)
     clusters = scratch.keep(connected_groups(allowed))
     scratch.drop(counts)
