@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
+import sys
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -96,11 +98,18 @@ _last_work: str | None = None
 
 
 def _begin_task(work: str) -> None:
-    """A worker process serves many operators in turn: what one has cached goes when another begins."""
+    """A worker process serves many operators in turn: what one has cached goes when another begins, and memory that
+    tasks before have freed is given back."""
     global _last_work
     if _last_work != work:
         Memo.forget()
         _last_work = work
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
