@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from msgrisk.catalog.registry import query, sql_family, sql_family_id, sql_template, table
 from msgrisk.operators import corpus as ops
+from msgrisk.session import materialize
 
 
 def documents(spark, d):
@@ -81,7 +82,7 @@ WITH {_FAM}
 SELECT doc_id AS row_ord, family, (row_number() OVER (PARTITION BY family ORDER BY doc_id))::BIGINT AS ordinal,
   min(doc_id) OVER (PARTITION BY family) AS first_ord FROM fam""")
 def duplicate_ordinal(spark, d):
-    fam = ops.with_family(table(spark, d, "documents").withColumnRenamed("doc_id", "row_ord")).select("row_ord", "family")
+    fam = materialize(ops.with_family(table(spark, d, "documents").withColumnRenamed("doc_id", "row_ord")).select("row_ord", "family"))
     out = ops.duplicate_ordinal(fam, ["family"], "row_ord")
     return out.select("row_ord", "family", F.col("ordinal").cast("bigint").alias("ordinal"), "first_ord")
 

@@ -60,3 +60,14 @@ def test_common_and_rare_terms_have_the_same_weights(spark, monkeypatch):
     monkeypatch.setattr(terms, "COMMON_TERMS", 2)
     monkeypatch.setattr(terms, "small_or_none", lambda df: None)
     assert counted(terms.tfidf(counts, vocab, "id").select("id", "term", F.round("weight", 9))) == want and len(want) == 36
+
+
+# --- families ------------------------------------------------------------------------
+
+
+def test_ordinals_read_each_text_once(spark, tmp_path):
+    rows = [(1, "same text"), (2, "same text"), (3, "other")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_queries.duplicate_ordinal(spark, str(tmp_path))
+    assert "sha2" not in optimized(out)
+    assert sorted((r.row_ord, r.ordinal, r.first_ord) for r in out.collect()) == [(1, 1, 1), (2, 2, 1), (3, 1, 3)]
