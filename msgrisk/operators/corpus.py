@@ -250,7 +250,7 @@ def merge_campaign_groups(corpus: DataFrame, group: str = "group_id", order: str
     Edges run between families and groups, so a family shared by many groups costs one edge
     per group, never a pair of groups.
     """
-    families = with_family(corpus)
+    families = materialize(with_family(corpus).select(order, group, "label", "family"))
     clean = family_stats(families, order).where(~F.col("conflict")).select("family")
     pairs = families.select("family", group).distinct().join(clean, "family", "left_semi")
     # Group names sort before family names, so a component is named by its least group.

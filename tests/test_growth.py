@@ -71,3 +71,12 @@ def test_ordinals_read_each_text_once(spark, tmp_path):
     out = corpus_queries.duplicate_ordinal(spark, str(tmp_path))
     assert "sha2" not in optimized(out)
     assert sorted((r.row_ord, r.ordinal, r.first_ord) for r in out.collect()) == [(1, 1, 1), (2, 2, 1), (3, 1, 3)]
+
+
+def test_campaign_groups_read_each_text_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(corpus, "connected_groups", lambda edges, real=corpus.connected_groups: (seen.append(optimized(edges)), real(edges))[1])
+    rows = [(1, "same", "a", 1), (2, "same", "b", 1), (3, "other", "c", 0)]
+    out = corpus.merge_campaign_groups(spark.createDataFrame(rows, "row_ord long, text string, group_id string, label int"))
+    assert sorted(map(tuple, out.collect())) == [("a", "a"), ("b", "a"), ("c", "c")]
+    assert "sha2" not in seen[0]
