@@ -19,12 +19,14 @@ def domains_align(left, right) -> Column:
 
 def label_suffixes(host, min_labels: int = 1) -> Column:
     """``a.b.c`` gives ``[a.b.c, b.c, c]``, most specific first."""
-    labels = F.split(F.regexp_replace(F.lower(tx.strip(host)), r"\.+$", ""), r"\.")
-    last = F.size(labels) - min_labels + 1
-    return F.when(
-        last >= 1,
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")),
-    ).otherwise(F.array().cast("array<string>"))
+    def tails(labels: Column) -> Column:
+        last = F.size(labels) - min_labels + 1
+        return F.when(
+            last >= 1,
+            F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return tx.let(F.split(F.regexp_replace(F.lower(tx.strip(host)), r"\.+$", ""), r"\."), tails)
 
 
 def listed_domain(host, domains) -> Column:

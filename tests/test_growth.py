@@ -80,3 +80,13 @@ def test_campaign_groups_read_each_text_once(spark, monkeypatch):
     out = corpus.merge_campaign_groups(spark.createDataFrame(rows, "row_ord long, text string, group_id string, label int"))
     assert sorted(map(tuple, out.collect())) == [("a", "a"), ("b", "a"), ("c", "c")]
     assert "sha2" not in seen[0]
+
+
+# --- links ---------------------------------------------------------------------------
+
+
+def test_suffixes_take_their_host_once(spark):
+    df = spark.createDataFrame([("A.b.Example.com.",), ("",), (None,)], "host string")
+    out = df.select(hosts.label_suffixes(F.regexp_replace("host", "zz", "")).alias("s"))
+    assert len(re.findall(r"regexp_replace\([^(]*, zz", optimized(out))) == 1
+    assert [r.s for r in out.collect()][0] == ["a.b.example.com", "b.example.com", "example.com", "com"]
