@@ -15,6 +15,7 @@ from msgrisk.functions import hosts as hx
 from msgrisk.functions import text as tx
 from msgrisk.functions import unicode as ux
 from msgrisk.operators.scale import dimension_join, salted_join
+from msgrisk.session import materialize
 
 
 def _per_host(df: DataFrame, host: str) -> DataFrame:
@@ -169,7 +170,9 @@ def link_findings(links: DataFrame, key: list[str], known_hosts: list[str]) -> D
     """
     p = parsed_links(links)
     web = F.col("p.scheme").isin("http", "https") & F.col("p.valid")
-    p = p.withColumns({"_host": F.when(web, F.col("p.host")), "_shown": hx.visible_host("visible")})
+    # Written once: the filters on the host would each parse every destination again.
+    p = materialize(p.withColumns({"_host": F.when(web, F.col("p.host")), "_shown": hx.visible_host("visible")}).select(
+        *key, "link_ord", "destination", "p", "_host", "_shown"))
     joined = _with_decoded(p, [*key, "link_ord"])
     own = {
         "obfuscated-scheme": F.lower("destination").rlike("^hxxps?://"),

@@ -90,3 +90,11 @@ def test_suffixes_take_their_host_once(spark):
     out = df.select(hosts.label_suffixes(F.regexp_replace("host", "zz", "")).alias("s"))
     assert len(re.findall(r"regexp_replace\([^(]*, zz", optimized(out))) == 1
     assert [r.s for r in out.collect()][0] == ["a.b.example.com", "b.example.com", "example.com", "com"]
+
+
+def test_destinations_are_parsed_once(spark):
+    rows = [(1, 0, "www.paypal.com", "hxxp://paypa1-7.example.com/login"), (2, 0, "", "javascript:x")]
+    out = links.link_findings(spark.createDataFrame(rows, "id long, link_ord int, visible string, destination string"), ["id"], ["gmail.com"])
+    assert "try_url_decode" not in optimized(out)
+    assert sorted((r.id, r.finding) for r in out.collect()) == [
+        (1, "brand-lookalike"), (1, "display-mismatch"), (1, "obfuscated-scheme"), (2, "unsafe-scheme")]
