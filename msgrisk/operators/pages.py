@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from msgrisk.functions import hosts
 from msgrisk.functions import text as tx
 from msgrisk.functions.markup import html_facts
+from msgrisk.session import bounded_batches
 
 MIN_VISIBLE = 80
 
@@ -41,7 +42,7 @@ def page_facts(pages: DataFrame, key: list[str], html: str = "html") -> DataFram
     The parser runs in Arrow batches on the key and the markup only.
     """
     source = F.coalesce(F.col(html), F.lit(""))
-    parsed = pages.select(
+    parsed = bounded_batches(pages).select(
         *key, source.rlike(_MSO).alias("mso_conditional"), html_facts(expand_conditionals(source)).alias("f")
     ).select(*key, "mso_conditional", "f.*")
     visible = tx.squeeze_space("text")

@@ -63,3 +63,11 @@ def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(schema or df.schema).parquet(folder)
+
+
+def bounded_batches(df: DataFrame, rows: int = 256) -> DataFrame:
+    """``df``, with Arrow batches of at most ``rows`` rows for the session: rows that hold whole texts must not pile up in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df

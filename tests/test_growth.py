@@ -98,3 +98,17 @@ def test_destinations_are_parsed_once(spark):
     assert "try_url_decode" not in optimized(out)
     assert sorted((r.id, r.finding) for r in out.collect()) == [
         (1, "brand-lookalike"), (1, "display-mismatch"), (1, "obfuscated-scheme"), (2, "unsafe-scheme")]
+
+
+# --- batches and pieces --------------------------------------------------------------
+
+
+def test_pages_come_in_small_batches(wide_batches):
+    pages.page_facts(wide_batches.createDataFrame([(1, "<p>a")], "id int, html string"), ["id"])
+    assert int(wide_batches.conf.get(BATCH)) <= 256
+
+
+def test_smaller_batches_stay(wide_batches):
+    wide_batches.conf.set(BATCH, "7")
+    pages.page_facts(wide_batches.createDataFrame([(1, "<p>a")], "id int, html string"), ["id"])
+    assert wide_batches.conf.get(BATCH) == "7"
