@@ -11,7 +11,7 @@ from msgrisk.functions import hosts as hx
 from msgrisk.functions import text as tx
 from msgrisk.functions import unicode as uni
 from msgrisk.functions.mime import message_entities
-from msgrisk.session import materialize
+from msgrisk.session import bounded_batches, materialize
 
 KEY = ["root_id", "msg_path"]
 
@@ -22,7 +22,7 @@ def ingest_eml(raw: DataFrame, root: str = "path", content: str = "content") ->
     Every message is decoded once; the decoded entities are written to the checkpoint folder
     and the four tables are projections of that copy.
     """
-    decoded = raw.select(F.col(root).alias("root_id"), F.explode(message_entities(content)).alias("e"))
+    decoded = bounded_batches(raw).select(F.col(root).alias("root_id"), F.explode(message_entities(content)).alias("e"))
     e = materialize(decoded.select("root_id", "e.*"))
     header = lambda name: F.filter("headers", lambda h: h["name"] == name)
     messages = e.select(

@@ -112,3 +112,9 @@ def test_smaller_batches_stay(wide_batches):
     wide_batches.conf.set(BATCH, "7")
     pages.page_facts(wide_batches.createDataFrame([(1, "<p>a")], "id int, html string"), ["id"])
     assert wide_batches.conf.get(BATCH) == "7"
+
+
+def test_messages_come_in_small_batches(wide_batches):
+    raw = wide_batches.createDataFrame([("one", bytearray(b"Subject: s\r\n\r\nbody"))], "path string, content binary")
+    assert mail.ingest_eml(raw)["messages"].count() == 1
+    assert int(wide_batches.conf.get(BATCH)) <= 256
