@@ -14,6 +14,15 @@ from msgrisk.functions.mime import message_entities
 from msgrisk.session import bounded_batches, materialize
 
 KEY = ["root_id", "msg_path"]
+#: Messages that one task decodes, and their bytes.
+PIECE_MESSAGES, PIECE_BYTES = 2_000, 8_000_000
+
+
+def message_pieces(raw: DataFrame, content: str) -> DataFrame:
+    """``raw`` dealt out evenly over as many tasks as its messages and bytes ask for; the splits of its files hold far more."""
+    size = raw.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(content).cast("bigint")).alias("bytes")).first()
+    pieces = max(size["n"] // PIECE_MESSAGES, (size["bytes"] or 0) // PIECE_BYTES) + 1
+    return raw if pieces == 1 else raw.repartition(max(pieces, raw.sparkSession.sparkContext.defaultParallelism))
 
 
 def ingest_eml(raw: DataFrame, root: str = "path", content: str = "content") -> dict[str, DataFrame]:
@@ -22,7 +31,7 @@ def ingest_eml(raw: DataFrame, root: str = "path", content: str = "content") ->
     Every message is decoded once; the decoded entities are written to the checkpoint folder
     and the four tables are projections of that copy.
     """
-    decoded = bounded_batches(raw).select(F.col(root).alias("root_id"), F.explode(message_entities(content)).alias("e"))
+    decoded = bounded_batches(message_pieces(raw, content)).select(F.col(root).alias("root_id"), F.explode(message_entities(content)).alias("e"))
     e = materialize(decoded.select("root_id", "e.*"))
     header = lambda name: F.filter("headers", lambda h: h["name"] == name)
     messages = e.select(

@@ -1,13 +1,15 @@
 """Steps that must not run once more for each use, and whose share of one task must stay bounded."""
 
 import re
+from email import headerregistry
 
 import pytest
 from pyspark.sql import functions as F
 
 from msgrisk.catalog import corpus as corpus_queries
-from msgrisk.functions import hosts
-from msgrisk.operators import corpus, links, mail, pages, posture, terms
+from msgrisk.functions import hosts, mime
+from msgrisk.operators import corpus, links, mail, pages, posture, rules, terms
+from msgrisk.plans import training
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -127,3 +129,26 @@ def test_snapshots_are_sorted_in_pieces(spark, monkeypatch):
     out = posture.latest_snapshot(records)
     assert out.rdd.getNumPartitions() == 21
     assert sorted((r.domain, r["values"][0]) for r in out.collect()) == sorted((f"d{i % 20}", str(i)) for i in range(20, 40))
+
+
+# --- rows of one file, dealt out -----------------------------------------------------
+
+
+def test_messages_are_decoded_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mail, "PIECE_MESSAGES", 2, raising=False)
+    write, tasks = mail.materialize, []
+    monkeypatch.setattr(mail, "materialize", lambda df: tasks.append(df.rdd.getNumPartitions()) or write(df))
+    raw = [(None if i % 4 else "same", bytearray(f"Subject: {i % 5}\r\n\r\nbody".encode())) for i in range(40)]
+    messages = mail.ingest_eml(spark.createDataFrame(raw, "path string, content binary").coalesce(1))["messages"]
+    assert tasks == [21]
+    assert sorted(r.subject for r in messages.collect()) == sorted(str(i % 5) for i in range(40))
+
+
+def test_header_values_are_parsed_once(monkeypatch):
+    made = []
+    find = headerregistry.HeaderRegistry.__getitem__
+    monkeypatch.setattr(headerregistry.HeaderRegistry, "__getitem__", lambda self, name: made.append(name.lower()) or find(self, name))
+    raw = b'Subject: s\r\nContent-Type: text/plain; charset=utf-8; x="once"\r\nContent-Transfer-Encoding: 8bit\r\n\r\nbody\r\n'
+    row, = mime.read_message(raw)
+    assert row["parts"][0]["content"] == "body\r\n" and row["headers"][0]["value"] == "s"
+    assert made.count("content-type") == 1 and made.count("content-transfer-encoding") == 1
