@@ -152,3 +152,13 @@ def test_header_values_are_parsed_once(monkeypatch):
     row, = mime.read_message(raw)
     assert row["parts"][0]["content"] == "body\r\n" and row["headers"][0]["value"] == "s"
     assert made.count("content-type") == 1 and made.count("content-transfer-encoding") == 1
+
+
+def test_features_are_dealt_out_for_training(spark, monkeypatch):
+    monkeypatch.setattr(training, "PIECE_ROWS", 100, raising=False)
+    fit, tasks = training.DecisionTreeClassifier.fit, []
+    monkeypatch.setattr(training.DecisionTreeClassifier, "fit", lambda self, rows: tasks.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    rows = spark.range(450).selectExpr("double(id % 7) AS a", "double(id % 3) AS b", "int(id % 7 > 3) AS result").coalesce(1)
+    fitted = training.train_tabular(rows, ["a", "b"], "result", names=("decision_tree",))
+    assert tasks == [5]
+    assert [tuple(r) for r in training.feature_importances(fitted["decision_tree"], ["a", "b"]).collect()] == [("a", 1.0), ("b", 0.0)]
