@@ -103,9 +103,12 @@ def duplicate_ordinal(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def exclude_reserved_families(corpus: DataFrame, reserved: DataFrame, order: str = "row_ord") -> DataFrame:
-    """Rows whose family is neither reserved nor repeated earlier in the corpus."""
-    taken = with_family(reserved).select("family").distinct()
-    firsts = with_family(corpus).groupBy("family").agg(F.min(order).alias(order))
+    """Rows whose family is neither reserved nor repeated earlier in the corpus.
+
+    The narrow tables of families are written, so no later filter computes them again from the texts.
+    """
+    taken = materialize(with_family(reserved).select("family").distinct())
+    firsts = materialize(with_family(corpus).groupBy("family").agg(F.min(order).alias(order)))
     kept = firsts.join(taken, "family", "left_anti")
     return corpus.join(kept, order)
 

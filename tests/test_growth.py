@@ -162,3 +162,10 @@ def test_features_are_dealt_out_for_training(spark, monkeypatch):
     fitted = training.train_tabular(rows, ["a", "b"], "result", names=("decision_tree",))
     assert tasks == [5]
     assert [tuple(r) for r in training.feature_importances(fitted["decision_tree"], ["a", "b"]).collect()] == [("a", 1.0), ("b", 0.0)]
+
+
+def test_reserved_families_are_computed_once(spark):
+    rows = lambda texts: spark.createDataFrame(list(enumerate(texts)), "row_ord long, text string")
+    out = corpus.exclude_reserved_families(rows(["one", "ONE ", "two", None, "three"]), rows(["Two", None, "four"]))
+    assert "sha2" not in optimized(out)
+    assert sorted(r.text or "" for r in out.collect()) == ["", "one", "three"]
