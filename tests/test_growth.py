@@ -169,3 +169,14 @@ def test_reserved_families_are_computed_once(spark):
     out = corpus.exclude_reserved_families(rows(["one", "ONE ", "two", None, "three"]), rows(["Two", None, "four"]))
     assert "sha2" not in optimized(out)
     assert sorted(r.text or "" for r in out.collect()) == ["", "one", "three"]
+
+
+def test_long_phrases_are_captured_in_one_pass(spark):
+    texts = ["b a b. a  b\U0001d4b3 a b", "a", "x_a b-c", "a b-c d", "", None, "B-C éa b"]
+    messages = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    phrases = ["a b", "a b-c", "b-c", "b", "b a b. a", "a  b\U0001d4b3"]
+    listed = spark.createDataFrame([(i, "c", "low", p) for i, p in enumerate(phrases)], rules.RULES_SCHEMA)
+    joined = rules._joined(messages, listed, "id", "text")
+    found = optimized(joined)
+    assert "array_join" not in found and found.count("regexp_extract_all") == 4  # one a length
+    assert counted(joined) == counted(rules.keyword_rules(messages, listed, "id"))
