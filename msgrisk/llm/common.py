@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import sys
+import time
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -116,14 +117,23 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit mixer (splitmix64 finalizer) over unsigned integers."""
     with np.errstate(over="ignore"):
         z = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+        z ^= z >> np.uint64(30)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(27)
+        z *= np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        return z
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver forget plans that are out of use, so that Spark's cleaner drops their shuffle files now."""
+def release(spark: SparkSession, settled: bool = False) -> None:
+    """Let the driver forget plans that are out of use, so that Spark's cleaner drops their shuffle files now.
+
+    The JVM hears up to a second later what Python has let go; ``settled`` waits for that, so that files of the step just
+    done go as well.
+    """
     gc.collect()
+    if settled:
+        time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -21,10 +21,11 @@ cut so that no suffix order of the whole corpus is needed:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ from msgrisk.operators.scale import small_or_none
 from msgrisk.session import materialize
 
 GRAM = 16
-#: Bytes of a text that are cut into segments at once.
-STRETCH = 1 << 20
+#: Bytes of a text that are cut into segments at once; their hashes fit a processor's cache.
+STRETCH = 1 << 16
 #: Segments that a task holds before it looks for repeats among them.
 FLUSH = 1_000_000
 _LAST = (1 << 63) - 1
@@ -100,29 +101,32 @@ def _segments(parts: list[tuple[int, int, bytes]], window: int) -> tuple[np.ndar
 
 
 def rotations(codes: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all rotations of the strings (each with its end mark) by ``depth`` codes or more; the place before each."""
-    total = int(lengths.sum())
-    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    size = np.repeat(lengths, lengths)
-    inside = np.arange(total) - first
-
-    def ahead(k: int) -> np.ndarray:
-        step = inside + k
-        return first + np.where(step < size, step, step % size)
+    """Order of all rotations of the strings (each with its end mark) by ``depth`` codes or more; the place before each.
 
-    key = np.zeros(total, dtype=np.int64)
-    for k in range(7):
-        key = (key << 9) | codes[ahead(k)]
+    Rotations that agree in all the codes compared come in any order.
+    """
+    total = int(lengths.sum())
+    ends = np.cumsum(lengths)
+    following, previous = np.arange(1, total + 1), np.arange(-1, total - 1)
+    following[ends - 1] = ends - lengths
+    previous[ends - lengths] = ends - 1
+    key, code = codes.astype(np.int64), codes
+    for _ in range(6):
+        code = code[following]
+        key = (key << 9) | code
+    two = following[following]
+    ahead = two[two][two][following]  # seven places on
     reach = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if reach >= depth:
-            return order, first + np.where(inside > 0, inside - 1, size - 1)
+            return order, previous
         sorted_key = key[order]
-        rank = np.empty(total, dtype=np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)]))
-        key = rank * (total + 1) + rank[ahead(reach)]
+        rank = np.zeros(total, dtype=np.int64)
+        rank[order[1:]] = np.cumsum(sorted_key[1:] != sorted_key[:-1])
+        key = rank * (total + 1) + rank[ahead]
         reach *= 2
+        ahead = ahead[ahead]
 
 
 def merge_shards(shards: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,6 +210,14 @@ def united(spans: list[tuple[int, int]]) -> list[list[int]]:
     return runs
 
 
+def united_spans(spans: Sequence[int]) -> list[list[int]]:
+    """The same of intervals written as first << 32 | last + 1."""
+    ordered = np.sort(np.asarray(spans, dtype=np.int64))
+    first, upto = ordered >> 32, np.maximum.accumulate(ordered & 0xFFFFFFFF)
+    new = np.flatnonzero(first[1:] > upto[:-1]) + 1
+    return np.stack([first[[0, *new]], upto[[*(new - 1), -1]]], axis=1).tolist() if len(ordered) else []
+
+
 # --- tasks ------------------------------------------------------------------------------
 
 
@@ -228,7 +240,7 @@ def context_keys(data: bytes, places: np.ndarray, reach: int) -> np.ndarray:
 
 def _several(group: np.ndarray, rid: np.ndarray) -> np.ndarray:
     """Rows whose group (any order) holds rows of different rids."""
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group)
     sorted_group = group[order]
     starts = np.flatnonzero(np.concatenate([[True], sorted_group[1:] != sorted_group[:-1]]))
     rows = rid[order]
@@ -269,7 +281,7 @@ def _shared_grams(docs: DataFrame, window: int, hot: int) -> DataFrame:
             carried = int(rid[-1])
             before, after = _sides(key)
             known = _several(before, rid) | _several(after, rid)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             starts = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
             first = order[starts]
@@ -292,7 +304,7 @@ def _shared_grams(docs: DataFrame, window: int, hot: int) -> DataFrame:
                 "packed": np.concatenate([packed[asks] | (n[asks] << _COPIES), packed[told] | _SETTLED]),
             }
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 4 * STRETCH):
             rids = np.asarray(part["rid"], dtype=np.int64)
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in part["text"]]
             joined, starts = b"".join(texts), np.cumsum([0, *map(len, texts)])
@@ -350,34 +362,38 @@ def _shared_grams(docs: DataFrame, window: int, hot: int) -> DataFrame:
 
 
 def _intervals(texts: DataFrame, common_grams: np.ndarray, window: int) -> DataFrame:
-    """Removed intervals (rid, first byte, last byte + 1) from texts with their shared segments."""
+    """Removed intervals (rid, span = first byte << 32 | last byte + 1) from texts with their shared segments."""
     shared = texts.sparkSession.sparkContext.broadcast(np.sort(common_grams))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         names = ("key", "settled", "doc", "rid", "at", "data", "upto")
-        asked: dict[bytes, list[tuple[int, int, int]]] = {}
-        keys: dict[bytes, int] = {}
+        known = shared.value
+        asked: dict[bytes, list] = {}  # the key, then its places
         held = 0
 
         def flush() -> dict:
-            rows: list[tuple] = []
+            keys, docs, rids, places, strings = [], [], [], [], []
             done: dict[int, list[tuple[int, int]]] = {}
-            for s, places in asked.items():
-                key, size = keys[s], len(s)
-                if len(places) == 1:
-                    doc, rid, at = places[0]
-                    rows.append((key, False, doc, rid, at, s, 0))
-                    continue
-                least = min(places)[0]
-                for doc, rid, at in places:
+            for s, entry in asked.items():
+                least = entry[1][0] if len(entry) == 2 else min(entry[1:])[0]
+                for doc, rid, at in entry[1:]:
                     if doc > least:
-                        done.setdefault(rid, []).append((at, at + size))
+                        done.setdefault(rid, []).append((at, at + len(s)))
                     else:
-                        rows.append((key, False, doc, rid, at, s, 0))
-            rows += [(rid, True, 0, rid, a, b"", b) for rid, spans in done.items() for a, b in united(spans)]
+                        keys.append(entry[0])
+                        docs.append(doc)
+                        rids.append(rid)
+                        places.append(at)
+                        strings.append(s)
             asked.clear()
-            keys.clear()
-            return dict(zip(names, map(list, zip(*rows))))
+            runs = [(rid, a, b) for rid, spans in done.items() for a, b in united(spans)]
+            owners, firsts, ends = (list(x) for x in zip(*runs)) if runs else ([], [], [])
+            open_rows, none = len(keys), [0] * len(runs)
+            columns = (
+                keys + owners, [False] * open_rows + [True] * len(runs), docs + none, rids + owners, places + firsts,
+                strings + [b""] * len(runs), [0] * open_rows + ends,
+            )
+            return dict(zip(names, columns))
 
         for part in slices(batches, "text"):
             for doc, rid, text, packs in zip(part["doc"], part["rid"], part["text"], part["packs"]):
@@ -385,17 +401,25 @@ def _intervals(texts: DataFrame, common_grams: np.ndarray, window: int) -> DataF
                 packed = np.asarray(packs, dtype=np.int64)
                 start, windows, gram = packed >> 32, (packed >> 8) & 255, packed & 255
                 hashes = gram_hashes(data, start + gram).view(np.int64) & ~np.int64((1 << 24) - 1)
-                common = np.isin(hashes, shared.value)
-                for at, width, h, single in zip(start.tolist(), windows.tolist(), hashes.tolist(), common.tolist()):
+                spot = np.searchsorted(known, hashes)
+                common = known[np.minimum(spot, len(known) - 1)] == hashes if len(known) else np.zeros(len(hashes), dtype=bool)
+                stop = start + windows + (window - 1)
+                for at, upto, h, single in zip(start.tolist(), stop.tolist(), hashes.tolist(), common.tolist()):
                     if single:
-                        for p in range(at, at + width):
+                        for p in range(at, upto - window + 1):
                             s = data[p : p + window]
-                            asked.setdefault(s, []).append((doc, rid, p))
-                            keys[s] = xxhash.xxh3_64_intdigest(s) - (1 << 63)
+                            entry = asked.get(s)
+                            if entry is None:
+                                asked[s] = [xxhash.xxh3_64_intdigest(s) - (1 << 63), (doc, rid, p)]
+                            else:
+                                entry.append((doc, rid, p))
                     else:
-                        s = data[at : at + width + window - 1]
-                        asked.setdefault(s, []).append((doc, rid, at))
-                        keys[s] = h
+                        s = data[at:upto]
+                        entry = asked.get(s)
+                        if entry is None:
+                            asked[s] = [h, (doc, rid, at)]
+                        else:
+                            entry.append((doc, rid, at))
                 held += len(packed)
                 if held > 250_000 or len(asked) > 250_000:
                     yield flush()
@@ -405,26 +429,30 @@ def _intervals(texts: DataFrame, common_grams: np.ndarray, window: int) -> DataF
 
     def settle(rows: list[tuple]) -> dict:
         """Rows of whole grams: (key, doc, rid, at, data)."""
-        out: dict[str, list] = {"rid": [], "first": [], "upto": []}
+        rids: list[int] = []
+        spans: list[int] = []
 
         def add(rid: int, a: int, b: int) -> None:
-            out["rid"].append(rid)
-            out["first"].append(a)
-            out["upto"].append(b)
+            rids.append(rid)
+            spans.append(a << 32 | b)
 
         same: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
         different: dict[int, int] = {}
         for key, doc, rid, at, data in rows:
-            known = same.setdefault((key, data), [])
-            if not known:
+            known = same.get((key, data))
+            if known is None:
+                same[key, data] = [(doc, rid, at)]
                 different[key] = different.get(key, 0) + 1
-            known.append((doc, rid, at))
+            else:
+                known.append((doc, rid, at))
         strings, least, holders = [], [], []
         for (key, data), places in same.items():
-            doc = min(places)[0]
-            for d, rid, at in places:
-                if d > doc:
-                    add(rid, at, at + len(data))
+            doc = places[0][0]
+            if len(places) > 1:
+                doc = min(places)[0]
+                for d, rid, at in places:
+                    if d > doc:
+                        add(rid, at, at + len(data))
             if different[key] > 1:
                 strings.append(data)
                 least.append(doc)
@@ -438,29 +466,35 @@ def _intervals(texts: DataFrame, common_grams: np.ndarray, window: int) -> DataF
                 if b > a:
                     for rid, at in holders[string[a]]:
                         add(rid, at + int(place[a]), at + int(place[b - 1]) + window)
-        return out
+        return {"rid": rids, "span": spans}
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        columns = ("key", "doc", "rid", "at", "data")
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            rows = batch.to_pydict()
-            done = [i for i, s in enumerate(rows["settled"]) if s]
-            if done:
-                yield {"rid": [rows["rid"][i] for i in done], "first": [rows["at"][i] for i in done], "upto": [rows["upto"][i] for i in done]}
-            for key, settled, doc, rid, at, data in zip(*(rows[c] for c in ("key", "settled", "doc", "rid", "at", "data"))):
-                if settled:
+            settled = batch.column("settled").to_numpy(zero_copy_only=False)
+            if settled.any():
+                rid, at, upto = (batch.column(c).to_numpy(zero_copy_only=False)[settled] for c in ("rid", "at", "upto"))
+                yield {"rid": rid, "span": at << 32 | upto}
+                batch = batch.filter(pa.array(~settled))
+                if not batch.num_rows:
                     continue
-                if size > 1_000_000 and held[-1][0] != key:
+            if size > 1_000_000:
+                key = batch.column("key").to_numpy(zero_copy_only=False)
+                rest = int(np.argmax(key != held[-1][0])) if key[-1] != held[-1][0] else len(key)
+                if rest < len(key):  # the gram held last ends here
+                    held += zip(*(batch.column(c).slice(0, rest).to_pylist() for c in columns))
                     yield settle(held)
                     held, size = [], 0
-                held.append((key, doc, rid, at, data))
-                size += len(data)
+                    batch = batch.slice(rest)
+            held += zip(*(batch.column(c).to_pylist() for c in columns))
+            size += pc.sum(pc.binary_length(batch.column("data"))).as_py()
         if held:
             yield settle(held)
 
     rows = arrow_map(texts, cut, "key long, settled boolean, doc long, rid long, at long, data binary, upto long")
-    return arrow_map(rows.repartition("key").sortWithinPartitions("settled", "key"), merge, "rid long, first long, upto long")
+    return arrow_map(rows.repartition("key").sortWithinPartitions("settled", "key"), merge, "rid long, span long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, hot: int | None = None, keep: list[str] | None = None, texts: bool = False) -> DataFrame:
@@ -491,13 +525,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, hot: int | None = None, ke
     hot = hot if hot is not None else max(2_000, int(0.005 * facts.count()))
     scratch = Scratch(spark)
     found = scratch.keep(_shared_grams(firsts, window, hot))
-    release(spark)
+    release(spark, settled=True)
     # Each stands for over ``hot`` segments, so there are at most (segments of a document) / 0.005 of them.
     common = found.where("rid IS NULL").select("packed").toPandas()["packed"].to_numpy(dtype=np.int64)
     shared = found.where("rid IS NOT NULL").groupBy("rid").agg(F.collect_set("packed").alias("packs"))
     gone = _intervals(firsts.join(shared, "rid").select("doc", "rid", "text", "packs"), common, window)
-    gone = gone.unionByName(copies.select("rid", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("upto")))
-    spans = materialize(gone.groupBy("rid").agg(F.collect_set(F.struct("first", "upto")).alias("spans")))
+    gone = gone.unionByName(copies.select("rid", F.lit(-1).cast("long").alias("span")))
+    spans = materialize(gone.groupBy("rid").agg(F.collect_set("span").alias("spans")))
     del gone, shared
     scratch.drop(found)
 
@@ -511,10 +545,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, hot: int | None = None, ke
                 out["kept_text"] = []
             for text, cuts in zip(part["text"], part["spans"]):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                spans = [(x["first"], x["upto"]) for x in cuts or ()]
-                if (0, -1) in spans:  # a copy
-                    spans = [(0, len(data))] if len(data) >= window else []
-                runs = united(spans)
+                if cuts and -1 in cuts:  # a copy
+                    runs = [[0, len(data)]] if len(data) >= window else []
+                else:
+                    runs = united_spans(cuts or ())
                 edges = [0, *(x for run in runs for x in run), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out["n_bytes"].append(len(data))

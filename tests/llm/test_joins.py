@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from msgrisk.llm import suffixes
 from msgrisk.llm.jaccard import compare_block, ngram_components, overlap_bound, classes
-from msgrisk.llm.suffixes import merge_shards, remove_repeats, repeated
+from msgrisk.llm.suffixes import merge_shards, remove_repeats, repeated, rotations, united, united_spans
 from msgrisk.llm.vectors import exact_top_k, nearest_neighbours
 
 FOLDER = "/root/testdata/sf0.001"
@@ -136,6 +136,36 @@ def test_merged_transforms():
         assert got == wanted
 
 
+def test_grams_leave_no_shuffle_behind(spark, monkeypatch):
+    """The shuffle of all grams is gone before the texts meet their shared segments."""
+    import os
+
+    root = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    held = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(root) for f in names if f.startswith("shuffle_") and f.endswith(".data"))
+    sizes = []
+    release, intervals = suffixes.release, suffixes._intervals
+    monkeypatch.setattr(suffixes, "release", lambda *a, **k: [sizes.append(held()), release(*a, **k)])
+    monkeypatch.setattr(suffixes, "_intervals", lambda *a: [sizes.append(held()), intervals(*a)][1])
+    draw = random.Random(10)
+    rows = [(i, "".join(draw.choices("abcdefghijklmnop", k=20_000))) for i in range(40)]
+    assert remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).count() == 40
+    assert sizes[1] < sizes[0] - 40 * 20_000 / 4
+
+
+def test_rotations_and_spans():
+    draw = random.Random(7)
+    strings = [[draw.randint(1, 3) for _ in range(draw.randint(0, 40))] + [0] for _ in range(20)] + [[1] * 30 + [0]] * 2
+    lengths = np.asarray([len(s) for s in strings])
+    order, previous = rotations(np.concatenate(strings), lengths, 50)
+    turned = [((s[i:] + s[:i]) * 51)[:50] for s in strings for i in range(len(s))]
+    assert sorted(order.tolist()) == list(range(len(turned)))
+    assert [turned[i] for i in order] == sorted(turned)
+    assert all(turned[p][1:] == t[:-1] for t, p in zip(turned, previous))
+    for k in (0, 1, 2, 30):
+        spans = [(a, a + draw.randint(1, 60)) for a in (draw.randint(0, 500) for _ in range(k))]
+        assert united_spans([a << 32 | b for a, b in spans]) == united(spans)
+
+
 @pytest.mark.parametrize("hot", [None, 2])
 def test_remove_repeats(spark, hot):
     draw = random.Random(6)
