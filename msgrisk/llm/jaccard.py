@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgrisk.llm.common import Scratch, arrow_map, mix, slices
@@ -77,29 +77,25 @@ def _pairs_of(tokens: np.ndarray) -> Iterator[np.ndarray]:
             yield mix(tokens[i] * _FACTORS[0] + tokens[i + 1 :] * _FACTORS[1], 5)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """A row for each document; of equal sets in a task the first carries the tokens, the others (mostly) none."""
+def _first_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[dict, list[np.ndarray], list[int | None], list[bool]]]:
+    """Batches with the sets of their texts, the keys of the sets, and which are (mostly) the first of their kind in the task."""
+    seen: set[int] = set()
+    for part in slices(batches, "text"):
+        found = [shingles(t, words) for t in part["text"]]
+        sids = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in found]
+        first = []
+        for sid in sids:
+            first.append(sid is not None and sid not in seen)
+            if first[-1] and len(seen) < 300_000:
+                seen.add(sid)
+        yield part, found, sids, first
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen: set[int] = set()
-        for part in slices(batches, "text"):
-            found = [shingles(t, words) for t in part["text"]]
-            sids = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in found]
-            first = []
-            for sid in sids:
-                first.append(sid is not None and sid not in seen)
-                if first[-1] and len(seen) < 300_000:
-                    seen.add(sid)
-            yield {
-                "doc_id": part["doc_id"], "rid": part["rid"], "n": [len(x) for x in found], "sid": sids,
-                "classes": [classes(x) if f else b"" for x, f in zip(found, first)], "tokens": [x.tobytes() if f else b"" for x, f in zip(found, first)],
-            }
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("rid"))
-    return arrow_map(rows, work, "doc_id long, rid long, n int, sid long, classes binary, tokens binary")
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
-def _frequent(sets: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, words: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that repeat inside tasks and how often, the most frequent ``limit`` or fewer: the order of tokens."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -112,19 +108,19 @@ def _frequent(sets: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
             again = counts > 1
             return {"token": tokens[again].view(np.int64), "cnt": counts[again]}
 
-        for batch in batches:
-            for value in batch.column("tokens"):
-                own = np.frombuffer(value.as_buffer(), dtype=np.uint64)
-                held.append(own)
-                size += len(own)
+        for _, found, _, first in _first_sets(batches, words):
+            for own, told in zip(found, first):
+                if told and len(own) > 1:
+                    held.append(own)
+                    size += len(own)
             if size > 2_000_000:
                 yield count()
                 size = 0
         if held:
             yield count()
 
-    scratch = Scratch(sets.sparkSession)
-    counted = scratch.keep(arrow_map(sets.select("tokens"), work, "token long, cnt long").groupBy("token").agg(F.sum("cnt").alias("cnt")))
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.keep(arrow_map(docs.select("text"), work, "token long, cnt long").groupBy("token").agg(F.sum("cnt").alias("cnt")))
     steps = counted.groupBy(F.floor(F.log2("cnt") * 8).alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
     least, total = 0, 0
     for row in steps:  # a few hundred rows at most
@@ -138,11 +134,41 @@ def _frequent(sets: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def _index_entries(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], hot: int, percent: int) -> DataFrame:
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)  # at most the limit given to _frequent
+def _sets(docs: DataFrame, words: int, frequent: tuple[np.ndarray, np.ndarray], hot: int, percent: int) -> DataFrame:
+    """A row for each document, with the rare and the hot tokens of its prefix only.
+
+    Of equal sets in a task the first carries them and its class counts, the others (mostly) none. Whole sets are not
+    written: those that are compared are made again from their texts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most the limit given to _frequent
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known, often = shared.value
+
+        def prefix(tokens: np.ndarray) -> tuple[bytes, bytes]:
+            count = np.zeros(len(tokens), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                same = known[at] == tokens
+                count[same] = often[at[same]]
+            first = np.argsort(count, kind="stable")[: int(prefix_size(len(tokens), percent))]
+            rare = count[first] < hot
+            return tokens[first[rare]].tobytes(), np.sort(tokens[first[~rare]]).tobytes()
+
+        for part, found, sids, first in _first_sets(batches, words):
+            prefixes = [prefix(x) if f else (b"", b"") for x, f in zip(found, first)]
+            yield {
+                "doc_id": part["doc_id"], "rid": part["rid"], "n": [len(x) for x in found], "sid": sids,
+                "classes": [classes(x) if f else b"" for x, f in zip(found, first)],
+                "rare": [x for x, _ in prefixes], "hot": [x for _, x in prefixes],
+            }
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", _row_key().alias("rid"))
+    return arrow_map(rows, work, "doc_id long, rid long, n int, sid long, classes binary, rare binary, hot binary")
+
+
+def _index_entries(sets: DataFrame) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[int] = set()  # spares repeated sets; the lists drop those that are left
         sigs: list[np.ndarray] = []
         sids: list[int] = []
@@ -160,22 +186,13 @@ def _index_entries(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], hot
             return out
 
         for batch in batches:
-            for sid, value in zip(batch.column("sid").to_pylist(), batch.column("tokens")):
+            for sid, n, *parts in zip(batch.column("sid").to_pylist(), batch.column("n").to_pylist(), batch.column("rare"), batch.column("hot")):
                 if sid in seen:
                     continue
                 if len(seen) < 300_000:
                     seen.add(sid)
-                tokens = np.frombuffer(value.as_buffer(), dtype=np.uint64)
-                n = len(tokens)
-                size = int(prefix_size(n, percent))
-                count = np.zeros(n, dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    same = known[at] == tokens
-                    count[same] = often[at[same]]
-                first = np.argsort(count, kind="stable")[:size]
-                rare = count[first] < hot
-                for entry in (tokens[first[rare]], *_pairs_of(np.sort(tokens[first[~rare]]))):
+                rare, hot = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in parts)
+                for entry in (rare, *_pairs_of(hot)):
                     if len(entry):
                         sigs.append(entry)
                         sids.append(sid)
@@ -188,7 +205,7 @@ def _index_entries(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], hot
         if sigs:
             yield flush()
 
-    return arrow_map(sets.where("n > 1").select("sid", "tokens"), work, "sig long, sid long, n int")
+    return arrow_map(sets.where("n > 1 AND length(classes) > 0").select("sid", "n", "rare", "hot"), work, "sig long, sid long, n int")
 
 
 def _list_edges(entries: DataFrame, short: int, percent: int) -> DataFrame:
@@ -305,25 +322,32 @@ def _placed(sets: DataFrame, clusters: DataFrame, percent: int, scratch: Scratch
     return blocks.join(wanted, ["cluster", "block"]).select("sid", "cluster", "block", "copies", "jobs"), blocks
 
 
-def _members(sets: DataFrame, clusters: DataFrame, placed: DataFrame) -> DataFrame:
+def _members(docs: DataFrame, words: int, sets: DataFrame, clusters: DataFrame, placed: DataFrame) -> DataFrame:
     """Clustered sets, once for each comparison of their block.
 
-    A fixed-size bit filter drops most others unshuffled; tokens move by set once, where they meet their block, and then to
-    the comparisons.
+    One row of each such set is chosen; a fixed-size bit filter drops most other texts unshuffled before the sets are made
+    again. Tokens move by set once, where they meet their block, and then to the comparisons.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(_filter_bits(sets.sparkSession, clusters))
+    own = sets.where("n > 1 AND length(classes) > 0").groupBy("sid").agg(F.min("rid").alias("rid"))
+    chosen = own.join(clusters.select(F.col("node").alias("sid")), "sid").select(F.col("rid").alias("node"))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(docs.sparkSession, chosen))
     bits = int(np.log2(len(shared.value) * 64))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         table = shared.value.view(np.uint64)
-        for batch in batches:
-            place = batch.column("place").to_numpy(zero_copy_only=False)
-            keep = (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield batch.select(["sid", "tokens"]).filter(pa.array(keep))
 
-    located = sets.where("n > 1 AND length(tokens) > 0").select("sid", "tokens", F.pmod(F.xxhash64("sid"), F.lit(1 << bits)).alias("place"))
-    likely = located.mapInArrow(work, "sid long, tokens binary")
-    whole = likely.groupBy("sid").agg(F.first("tokens").alias("tokens"))
+        def likely() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = batch.column("place").to_numpy(zero_copy_only=False)
+                keep = (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+                yield batch.select(["text"]).filter(pa.array(keep))
+
+        for _, found, sids, first in _first_sets(likely(), words):
+            told = [(sid, x.tobytes()) for sid, x, f in zip(sids, found, first) if f and len(x) > 1]
+            yield {"sid": [sid for sid, _ in told], "tokens": [x for _, x in told]}
+
+    located = docs.select("text", F.pmod(F.xxhash64(_row_key()), F.lit(1 << bits)).alias("place"))
+    whole = arrow_map(located, work, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
     # Both sides lie by sid: a merge join moves no tokens, whatever the sizes.
     met = whole.hint("merge").join(placed.hint("merge"), "sid")
     rows = met.select("cluster", "block", "sid", "copies", "tokens", F.explode("jobs").alias("job")).select("*", "job.low", "job.high").drop("job")
@@ -428,18 +452,17 @@ def ngram_components(
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50: below, a set of one n-gram can link with a larger one")
     scratch = Scratch(docs.sparkSession)
-    sets = scratch.keep(_sets(docs, words))
+    hot = max(256, int(hot_share * docs.count()))
+    sets = scratch.keep(_sets(docs, words, _frequent(docs, words, frequent_tokens), hot, percent))
     rows = scratch.keep(sets.select("doc_id", "rid", "n", "sid"))
-    told = sets.where("length(tokens) > 0")
-    frequent = _frequent(told.where("n > 1"), frequent_tokens)
-    hot = max(256, int(hot_share * rows.count()))
-    edges = scratch.keep(_list_edges(_index_entries(told, frequent, hot, percent), short_list, percent))
-    allowed, counts = _bounded(edges, sets, percent, scratch)
+    edges = scratch.keep(_list_edges(_index_entries(sets), short_list, percent))
+    bounded, counts = _bounded(edges, sets, percent, scratch)
+    allowed = scratch.keep(bounded)  # read more than once
+    scratch.drop(counts, edges)
     clusters = scratch.keep(connected_groups(allowed))
-    scratch.drop(counts)
-    scratch.drop(edges)
+    scratch.drop(allowed)
     placed, blocks = _placed(sets, clusters, percent, scratch)
-    links = scratch.keep(_verify(_members(sets, clusters, placed), percent))
+    links = scratch.keep(_verify(_members(docs, words, sets, clusters, placed), percent))
     scratch.drop(sets, clusters, blocks)
     parts = connected_groups(links.select(F.col("sid").alias("u"), F.col("root").alias("v")))
     linked = links.groupBy("sid").agg(F.sum("links").alias("_links")).join(

@@ -85,6 +85,33 @@ def test_list_over_several_batches(spark):
         ngram_components(table, percent=50)
 
 
+def test_whole_sets_are_not_written(spark, monkeypatch):
+    """No table or its columns hold all the tokens of the sets; rows stay exact, those of equal texts too."""
+    import os
+
+    import msgrisk.llm.jaccard as module
+    from msgrisk.llm.common import filesystem
+
+    sizes = []
+
+    class Weighed(module.Scratch):
+        def keep(self, df):
+            table = super().keep(df)
+            path = filesystem(self.folders[id(table)])[1]
+            sizes.append(sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path)))
+            return table
+
+    monkeypatch.setattr(module, "Scratch", Weighed)
+    draw = random.Random(9)
+    texts = [" ".join(f"w{draw.randrange(1 << 40)}" for _ in range(2000)) for _ in range(60)]
+    texts += [texts[0], texts[1], texts[2] + " more", "x " + texts[3]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_components(table).collect()}
+    copies = {60: 0, 61: 1, 62: 2, 63: 3}
+    assert got == {i: (1996 + (i in (62, 63)), copies.get(i, i), int(i in copies or i < 4)) for i in range(64)}
+    assert max(sizes) < 8 * 1996 * 60 / 2
+
+
 def test_blocks_and_bounds():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, size=rng.integers(1, 40)).astype(np.uint64) << np.uint64(57)) for _ in range(30)]
