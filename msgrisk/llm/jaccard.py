@@ -8,10 +8,14 @@ one more) holds rare tokens unless nearly all its tokens are frequent:
 * hot tokens, shared by a given share of all sets, enter as combinations of two: sets that share no rare token of
   their prefixes share two hot ones, because the prefix was extended by one.
 
-Index lists are sorted by set size. A short list gives all its pairs, and a pair whose class counts bound the overlap
-too low is dropped. A long list gives a chain through its members instead, broken where sizes rule a link out. What
-hangs together is a candidate cluster; its sets are compared exactly, in blocks, by inverted lists. Nothing is ever
-emitted for each pair of a long list, and no list or cluster is held by one task.
+Index lists are sorted by set size. A short list gives all its pairs. The prefix is extended further by a fiftieth of the
+set, and sets that link share more tokens of their prefixes than the smaller extension has: a pair that met in too few
+lists goes, unless tokens of long lists or hot ones, which no pair was counted for, could make up for it. Of the pairs
+left, one whose class counts bound the overlap too low is dropped. A long list gives a chain instead, broken where sizes
+rule a link out, through those of its members that could link by long lists and hot tokens alone. So n-grams that large
+texts share by chance, whose pairs grow with the square of the corpus, neither carry class counts nor tie clusters
+together. What hangs together is a candidate cluster; its sets are compared exactly, in blocks, by inverted lists. Nothing
+is ever emitted for each pair of a long list, and no list or cluster is held by one task.
 
 Frequencies only decide the order, so links never depend on them.
 """
@@ -33,6 +37,8 @@ from msgrisk.operators.scale import ordered_within_key
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 #: Tokens that one part of a block of a cluster holds, and what every set adds to its own.
 BLOCK_TOKENS, BLOCK_FLOOR = 400_000, 400
+#: The prefix of a set is extended by one of so many of its tokens.
+SPARE_PART = 50
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -65,9 +71,14 @@ def overlap_bound(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum())
 
 
-def prefix_size(n, percent: int):
-    """Tokens of the prefix, extended by one, of a set of ``n``."""
-    return np.minimum(n, n + (-(percent * n) // 100) + 2)
+def prefix_size(n, percent: int, spare: int = 1):
+    """Tokens of the prefix, extended by ``spare``, of a set of ``n``."""
+    return np.minimum(n, n + (-(percent * n) // 100) + 1 + spare)
+
+
+def spare(n: int) -> int:
+    """Tokens by which the prefix of a set of ``n`` is extended; two sets that link share one more than the smaller's."""
+    return max(1, n // SPARE_PART)
 
 
 def _pairs_of(tokens: np.ndarray) -> Iterator[np.ndarray]:
@@ -137,37 +148,41 @@ def _frequent(docs: DataFrame, words: int, limit: int) -> tuple[np.ndarray, np.n
 def _sets(docs: DataFrame, words: int, frequent: tuple[np.ndarray, np.ndarray], hot: int, percent: int) -> DataFrame:
     """A row for each document, with the rare and the hot tokens of its prefix only.
 
-    Of equal sets in a task the first carries them and its class counts, the others (mostly) none. Whole sets are not
-    written: those that are compared are made again from their texts.
+    Hot ones are those of the prefix extended by one, ``hidden`` counts them in the whole prefix. Of equal sets in a task the
+    first carries them and its class counts, the others (mostly) none. Whole sets are not written: those that are compared
+    are made again from their texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most the limit given to _frequent
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known, often = shared.value
 
-        def prefix(tokens: np.ndarray) -> tuple[bytes, bytes]:
+        def prefix(tokens: np.ndarray) -> tuple[bytes, bytes, int]:
             count = np.zeros(len(tokens), dtype=np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                 same = known[at] == tokens
                 count[same] = often[at[same]]
-            first = np.argsort(count, kind="stable")[: int(prefix_size(len(tokens), percent))]
+            first = np.argsort(count, kind="stable")[: int(prefix_size(len(tokens), percent, spare(len(tokens))))]
             rare = count[first] < hot
-            return tokens[first[rare]].tobytes(), np.sort(tokens[first[~rare]]).tobytes()
+            near = first[: int(prefix_size(len(tokens), percent))]
+            return tokens[first[rare]].tobytes(), np.sort(tokens[near[~rare[: len(near)]]]).tobytes(), int((~rare).sum())
 
         for part, found, sids, first in _first_sets(batches, words):
-            prefixes = [prefix(x) if f else (b"", b"") for x, f in zip(found, first)]
+            prefixes = [prefix(x) if f else (b"", b"", 0) for x, f in zip(found, first)]
             yield {
                 "doc_id": part["doc_id"], "rid": part["rid"], "n": [len(x) for x in found], "sid": sids,
                 "classes": [classes(x) if f else b"" for x, f in zip(found, first)],
-                "rare": [x for x, _ in prefixes], "hot": [x for _, x in prefixes],
+                "rare": [x for x, _, _ in prefixes], "hot": [x for _, x, _ in prefixes], "hidden": [x for _, _, x in prefixes],
             }
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", _row_key().alias("rid"))
-    return arrow_map(rows, work, "doc_id long, rid long, n int, sid long, classes binary, rare binary, hot binary")
+    return arrow_map(rows, work, "doc_id long, rid long, n int, sid long, classes binary, rare binary, hot binary, hidden int")
 
 
 def _index_entries(sets: DataFrame) -> DataFrame:
+    """Index entries; the lowest bit of ``sig`` tells a combination of hot tokens (1) from a rare token (0)."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: set[int] = set()  # spares repeated sets; the lists drop those that are left
         sigs: list[np.ndarray] = []
@@ -192,7 +207,7 @@ def _index_entries(sets: DataFrame) -> DataFrame:
                 if len(seen) < 300_000:
                     seen.add(sid)
                 rare, hot = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in parts)
-                for entry in (rare, *_pairs_of(hot)):
+                for entry in (rare & ~np.uint64(1), *(x | np.uint64(1) for x in _pairs_of(hot))):
                     if len(entry):
                         sigs.append(entry)
                         sids.append(sid)
@@ -209,24 +224,27 @@ def _index_entries(sets: DataFrame) -> DataFrame:
 
 
 def _list_edges(entries: DataFrame, short: int, percent: int) -> DataFrame:
-    """Pairs of short lists and chains of long ones; one list after the other streams through a task."""
+    """Pairs of short lists ``(a, b, na, nb, shared)``, and the entries of ``long`` ones: their sig as ``a``, their set as ``b``.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        last = None  # the list that a batch may have cut
-        held_sid, held_n, chained = [], [], False
-        out: dict[str, list] = {"a": [], "b": [], "pair": []}
+    ``shared`` counts the rare tokens among the lists. One list after the other streams through a task.
+    """
 
-        def add(a: int, na: int, b: int, nb: int, pair: bool) -> None:
-            if na * 100 >= percent * nb:
-                out["a"].append(min(a, b))
-                out["b"].append(max(a, b))
-                out["pair"].append(pair)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        last, token = None, 0  # the list that a batch may have cut
+        held_sid, held_n, long = [], [], False
+        names = ("long", "a", "b", "na", "nb", "shared")
+        out: list[tuple] = []
 
         def close() -> None:
-            if not chained and len(held_sid) > 1:
+            if not long:
                 for i in range(len(held_sid)):
                     for j in range(i + 1, len(held_sid)):
-                        add(held_sid[i], held_n[i], held_sid[j], held_n[j], True)
+                        if held_n[i] * 100 >= percent * held_n[j]:
+                            pair = sorted(((held_sid[i], held_n[i]), (held_sid[j], held_n[j])))
+                            out.append((False, pair[0][0], pair[1][0], pair[0][1], pair[1][1], token))
+
+        def table() -> dict:
+            return dict(zip(names, map(list, zip(*out))))
 
         for batch in batches:
             sig, sid, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "sid", "n"))
@@ -241,35 +259,71 @@ def _list_edges(entries: DataFrame, short: int, percent: int) -> DataFrame:
             for a, b in zip(starts[wanted].tolist(), ends[wanted].tolist()):
                 if last is None or sig[a] != last:
                     close()
-                    last, held_sid, held_n, chained = sig[a], [], [], False
+                    last, token, held_sid, held_n, long = int(sig[a]), 1 - int(sig[a] & 1), [], [], False
                 for s, k in zip(sid[a:b].tolist(), n[a:b].tolist()):
                     if held_sid and held_sid[-1] == s:
                         continue
-                    if chained:
-                        add(held_sid[-1], held_n[-1], s, k, False)
-                        held_sid, held_n = [s], [k]
-                        continue
                     held_sid.append(s)
                     held_n.append(k)
-                    if len(held_sid) > short:
-                        chained = True
-                        for i in range(len(held_sid) - 1):
-                            add(held_sid[i], held_n[i], held_sid[i + 1], held_n[i + 1], False)
-                        held_sid, held_n = held_sid[-1:], held_n[-1:]
-            if len(out["a"]) > 50_000:
-                yield out
-                out = {"a": [], "b": [], "pair": []}
+                    if long:
+                        out.append((True, last, s, 0, k, token))
+                        held_sid, held_n = [s], [k]
+                    elif len(held_sid) > short:
+                        long = True
+                        out += [(True, last, x, 0, y, token) for x, y in zip(held_sid, held_n)]
+                        held_sid, held_n = [s], [k]
+            if len(out) > 50_000:
+                yield table()
+                out.clear()
         close()
-        if out["a"]:
-            yield out
+        if out:
+            yield table()
 
     sorted_lists = entries.repartition("sig").sortWithinPartitions("sig", "n", "sid")
-    edges = arrow_map(sorted_lists, work, "a long, b long, pair boolean")
-    return edges.groupBy("a", "b").agg(F.min("pair").alias("pair"))
+    edges = arrow_map(sorted_lists, work, "long boolean, a long, b long, na int, nb int, shared int")
+    return edges.groupBy("long", "a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
+
+
+def _unseen(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """For sets that have such, the tokens of their prefix that no pair was counted for: hot ones and those of long lists."""
+    hot = sets.where("hidden > 0").groupBy("sid").agg(F.max("hidden").cast("long").alias("unseen"))
+    listed = edges.where("long AND shared > 0").groupBy(F.col("b").alias("sid")).agg(F.count(F.lit(1)).alias("unseen"))
+    return hot.unionByName(listed).groupBy("sid").agg(F.sum("unseen").alias("unseen"))
+
+
+def _spare(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(n / SPARE_PART))
+
+
+def _counted(edges: DataFrame, unseen: DataFrame) -> DataFrame:
+    """Pairs that share enough tokens of their prefixes, as far as these were counted."""
+    pairs = edges.where("NOT long").select("a", "b", "na", "nb", "shared", F.least(_spare(F.col("na")), _spare(F.col("nb"))).alias("beyond"))
+    sides = [unseen.select(F.col("sid").alias(c), F.col("unseen").alias(f"_{c}")) for c in ("a", "b")]
+    others = pairs.where("shared <= beyond").join(sides[0], "a").join(sides[1], "b").where(F.col("shared") + F.least("_a", "_b") > F.col("beyond"))
+    columns = ["a", "b", "na", "nb"]
+    return pairs.where("shared > beyond").select(*columns).unionByName(others.select(*columns))
+
+
+def _chains(edges: DataFrame, unseen: DataFrame, percent: int) -> DataFrame:
+    """A chain through each long list, by size, of those sets that could link by long lists and hot tokens alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        last = [np.zeros(0, dtype=np.int64)] * 3
+        for batch in batches:
+            own = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sig", "sid", "n")]
+            sig, sid, n = map(np.concatenate, zip(last, own))
+            last = [x[-1:] for x in (sig, sid, n)]
+            linked = (sig[1:] == sig[:-1]) & (n[:-1] * 100 >= percent * n[1:])
+            yield {"u": np.minimum(sid[1:], sid[:-1])[linked], "v": np.maximum(sid[1:], sid[:-1])[linked]}
+
+    least = F.expr(f"(cast(nb AS long) * {percent} + 99) div 100")  # of a set that links with it
+    listed = edges.where("long").select(F.col("a").alias("sig"), F.col("b").alias("sid"), F.col("nb").alias("n"), _spare(least).alias("beyond"))
+    own = listed.join(unseen, "sid").where("unseen > beyond").select("sig", "sid", "n")
+    return arrow_map(own.repartition("sig").sortWithinPartitions("sig", "n", "sid"), work, "u long, v long").distinct()
 
 
-def _bounded(edges: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Chains, and those pairs whose class counts allow a link; and the scratch table these are read from."""
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Those pairs whose class counts allow a link; and the scratch table these are read from."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -280,14 +334,13 @@ def _bounded(edges: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
             ]
             yield {"u": [a for a, k in zip(rows["a"], keep) if k], "v": [b for b, k in zip(rows["b"], keep) if k]}
 
-    counts = sets.where("n > 1").groupBy("sid").agg(F.first("n").alias("n"), F.max("classes").alias("c"))
-    counts = scratch.keep(counts.join(edges.where("pair").select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid"))
-    pairs = (
-        edges.where("pair").join(counts.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), "a")
-        .join(counts.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")), "b")
+    counts = sets.where("n > 1").groupBy("sid").agg(F.max("classes").alias("c"))
+    counts = scratch.keep(counts.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid"))
+    met = (
+        pairs.join(counts.select(F.col("sid").alias("a"), F.col("c").alias("ca")), "a")
+        .join(counts.select(F.col("sid").alias("b"), F.col("c").alias("cb")), "b")
     )
-    chains = edges.where("NOT pair").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return arrow_map(pairs, work, "u long, v long").unionByName(chains), counts
+    return arrow_map(met, work, "u long, v long"), counts
 
 
 def _filter_bits(spark, keys: DataFrame, bits: int = 26) -> np.ndarray:
@@ -456,9 +509,11 @@ def ngram_components(
     sets = scratch.keep(_sets(docs, words, _frequent(docs, words, frequent_tokens), hot, percent))
     rows = scratch.keep(sets.select("doc_id", "rid", "n", "sid"))
     edges = scratch.keep(_list_edges(_index_entries(sets), short_list, percent))
-    bounded, counts = _bounded(edges, sets, percent, scratch)
-    allowed = scratch.keep(bounded)  # read more than once
-    scratch.drop(counts, edges)
+    unseen = scratch.keep(_unseen(edges, sets))
+    pairs = scratch.keep(_counted(edges, unseen))
+    bounded, counts = _bounded(pairs, sets, percent, scratch)
+    allowed = scratch.keep(bounded.unionByName(_chains(edges, unseen, percent)))  # read more than once
+    scratch.drop(counts, pairs, unseen, edges)
     clusters = scratch.keep(connected_groups(allowed))
     scratch.drop(allowed)
     placed, blocks = _placed(sets, clusters, percent, scratch)

@@ -112,6 +112,40 @@ def test_whole_sets_are_not_written(spark, monkeypatch):
     assert max(sizes) < 8 * 1996 * 60 / 2
 
 
+def test_runs_shared_by_chance_tie_nothing(spark, monkeypatch):
+    """Large texts that share a run of words or two: no class counts are met for their pairs, no cluster is chained."""
+    import msgrisk.llm.jaccard as module
+
+    met, tied = [], []
+
+    class Counted(module.Scratch):
+        def keep(self, df):
+            table = super().keep(df)
+            met.extend([table.count()] if table.columns == ["sid", "c"] else [])
+            return table
+
+    monkeypatch.setattr(module, "Scratch", Counted)
+    monkeypatch.setattr(module, "connected_groups", lambda edges, real=module.connected_groups: (tied.append(edges.count()), real(edges))[1])
+    monkeypatch.setattr(module, "_frequent", lambda *a: (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
+    draw = random.Random(11)
+    runs = []
+    while len(runs) < 21:  # in the order of hashes they come first, so each prefix has those of its text
+        run = " ".join(f"r{draw.randrange(1 << 40)}" for _ in range(5))
+        runs += [run] if module.shingles(run, 5)[0] < 1 << 60 else []
+    text = lambda k: " ".join(f"w{draw.randrange(1 << 40)}" for _ in range(k))
+    # One run lies in all forty texts, a long list; each of the others in two of them.
+    texts = [" ".join([text(400), runs[0], text(100), runs[1 + i // 2], text(100)]) for i in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in ngram_components(table).collect()} == {(i, i, 0) for i in range(40)}
+    assert met == [0] and tied[0] == 0
+    # Near copies that share long lists only, or those and a run, are found all the same.
+    base = text(300).split()
+    near = [" ".join(base[: 10 * i] + ["x"] + base[10 * i :]) for i in range(20)]
+    table = spark.createDataFrame(list(enumerate(near + texts)), "doc_id long, text string").repartition(4)
+    found = {(r["doc_id"], r["component_id"], r["n_links"]) for r in ngram_components(table).collect()}
+    assert found == {(i, 0, 19) if i < 20 else (i, i, 0) for i in range(60)}
+
+
 def test_blocks_and_bounds():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, size=rng.integers(1, 40)).astype(np.uint64) << np.uint64(57)) for _ in range(30)]
