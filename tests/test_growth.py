@@ -4,12 +4,14 @@ import re
 from email import headerregistry
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from msgrisk.catalog import corpus as corpus_queries
 from msgrisk.functions import hosts, mime
 from msgrisk.operators import corpus, links, mail, pages, posture, rules, terms
 from msgrisk.plans import training
+from msgrisk.session import materialize
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -164,6 +166,42 @@ def test_features_are_dealt_out_for_training(spark, monkeypatch):
     assert [tuple(r) for r in training.feature_importances(fitted["decision_tree"], ["a", "b"]).collect()] == [("a", 1.0), ("b", 0.0)]
 
 
+def test_large_tables_grow_their_forest_on_counted_cells(spark, monkeypatch):
+    fit, read = training.RandomForestClassifier.fit, []
+    monkeypatch.setattr(training.RandomForestClassifier, "fit", lambda self, rows: read.append(rows.count()) or fit(self, rows))
+    noisy = "int((id * 37 % 10) + double(pmod(xxhash64(id), 8)) > 7 + (id % 3) / 2) AS result"
+    rows = spark.range(20_000).selectExpr("int(id * 37 % 10) AS a", "double(id % 3) AS b", "double(id % 7) AS c", noisy)
+    plain = training.train_tabular(rows, ["a", "b", "c"], "result", names=("random_forest",))["random_forest"]
+    monkeypatch.setattr(training, "CELL_ROWS", 10_000, raising=False)
+    counted = training.train_tabular(rows, ["a", "b", "c"], "result", names=("random_forest",))["random_forest"]
+    # 210 cells of bins with up to two labels, whatever the number of rows; then one tree at a time of a hundred.
+    assert read[0] == 20_000 and len(read) == 101 and max(read[1:]) <= 420
+    forest = counted.stages[-1]
+    assert len(forest.trees) == forest.getNumTrees == 100 and all(" <= " in t.toDebugString for t in forest.trees)
+    assert forest.featureImportances.toArray() == pytest.approx(plain.stages[-1].featureImportances.toArray(), abs=0.03)
+    score = lambda m: m.transform(rows).groupBy("a", "b", "c").agg(F.first(F.element_at(vector_to_array("probability"), 2)).alias("p"))
+    apart = score(plain).join(score(counted).withColumnRenamed("p", "q"), ["a", "b", "c"]).agg(F.count(F.lit(1)), F.max(F.abs(F.col("p") - F.col("q")))).first()
+    assert apart[0] == 210 and apart[1] < 0.1
+
+
+def test_weights_of_cells_are_sums_of_those_of_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(training, "materialize", lambda df, schema=None: seen.append(write(df, schema)) or seen[-1])
+    write = materialize
+    monkeypatch.setattr(training, "CELL_ROWS", 10_000)
+    rows = spark.range(20_000).selectExpr("double(id % 4) AS a", "double(id % 5 = 0) AS b", "int(id % 4 > 1) AS result")
+    training.train_tabular(rows, ["a", "b"], "result", names=("random_forest",))
+    for r in seen[-1].collect():  # Poisson, of the mean and variance that the cell has rows
+        drawn = [r[f"_w{t}"] for t in range(100)]
+        assert abs(sum(drawn) / 100 - r["n"]) < 0.5 * r["n"] ** 0.5 and 0.4 < sum((x - r["n"]) ** 2 for x in drawn) / 100 / r["n"] < 2
+
+
+def test_bins_follow_quantiles():
+    assert training.bin_edges([1.0, 2.0, 2.0, 4.0]) == [1.5, 3.0] and training.bin_edges([3.0] * 9) == []
+    edges = training.bin_edges([float(i) for i in range(3200)])
+    assert len(edges) == 31 and all(abs(b - a - 100) <= 1 for a, b in zip(edges, edges[1:]))
+
+
 def test_reserved_families_are_computed_once(spark):
     rows = lambda texts: spark.createDataFrame(list(enumerate(texts)), "row_ord long, text string")
     out = corpus.exclude_reserved_families(rows(["one", "ONE ", "two", None, "three"]), rows(["Two", None, "four"]))
