@@ -66,6 +66,34 @@ def test_common_and_rare_terms_have_the_same_weights(spark, monkeypatch):
     assert counted(terms.tfidf(counts, vocab, "id").select("id", "term", F.round("weight", 9))) == want and len(want) == 36
 
 
+def test_unknown_terms_and_known_weights_are_not_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(i if i % 7 else None, f"a b{i % 3} c{i % 2} " + " ".join(f"u{i}x{j}" for j in range(50))) for i in range(28)], "id long, text string")
+    counts = terms.term_counts(docs, "id", words())
+    vocab = terms.vocabulary(counts, 25, 2, 1.0)
+    want = counted(terms.tfidf(counts, vocab, "id").select("id", "term", F.round("weight", 9)))
+    monkeypatch.setattr(terms, "COMMON_TERMS", 2)
+    monkeypatch.setattr(terms, "small_or_none", lambda df: None)
+    assert counted(terms._likely(counts, vocab).select("term").distinct()) == [(t,) for t in ("a", "b0", "b1", "b2", "c0", "c1")]
+    out = terms.tfidf(counts, vocab, "id")
+    assert counted(out.select("id", "term", F.round("weight", 9))) == want and {r[0] for r in want} > {None, 1}
+    assert "collect_list" not in plan(out)  # rows of weights stay; only sums of squares went by document
+    monkeypatch.setattr(terms, "NORM_ROWS", 0)
+    assert counted(terms.tfidf(counts, vocab, "id").select("id", "term", F.round("weight", 9))) == want
+
+
+@pytest.mark.parametrize("first", [2, 5])
+def test_contributors_are_chosen_before_the_shuffle(spark, monkeypatch, first):
+    rows = [(k, t, c) for k in (None, 1, 2) for t, c in (("verify account", 0.9), ("verify", 0.8), ("account", 0.7), ("count", 0.6), ("urgent", 0.5), ("a", 0.5), ("zz", 0.4))]
+    rows += [(3, "one", 0.2), (3, "two", 0.2)]
+    scored = spark.createDataFrame(rows, "id int, term string, contribution double").repartition(3)
+    want = {k: ["verify account", "urgent", "zz"] for k in (None, 1, 2)} | {3: ["one", "two"]}
+    monkeypatch.setattr(terms, "FIRST_TERMS", first, raising=False)
+    read = []
+    monkeypatch.setattr(terms, "materialize", lambda df, write=terms.materialize: (read.append(plan(df)), write(df))[1])
+    assert {r.id: [t.term for t in r.top] for r in terms.top_contributors(scored, "id", 3).collect()} == want
+    assert len(read) == 1 and "WindowGroupLimit" in read[0]
+
+
 # --- families ------------------------------------------------------------------------
 
 
