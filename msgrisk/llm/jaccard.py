@@ -12,9 +12,9 @@ Index lists are sorted by set size. A short list gives all its pairs. The prefix
 set, and sets that link share more tokens of their prefixes than the smaller extension has: a pair that met in too few
 lists goes, unless tokens of long lists or hot ones, which no pair was counted for, could make up for it. Of the pairs
 left, one whose class counts bound the overlap too low is dropped. A long list gives a chain instead, broken where sizes
-rule a link out, through those of its members that could link by long lists and hot tokens alone. So n-grams that large
-texts share by chance, whose pairs grow with the square of the corpus, neither carry class counts nor tie clusters
-together. What hangs together is a candidate cluster; its sets are compared exactly, in blocks, by inverted lists. Nothing
+rule a link out; that of a rare token leads only through members that could link by long lists and hot tokens alone. So
+n-grams that large texts share by chance, whose pairs grow with the square of the corpus, neither carry class counts nor
+tie clusters together. What hangs together is a candidate cluster; its sets are compared exactly, in blocks, by inverted lists. Nothing
 is ever emitted for each pair of a long list, and no list or cluster is held by one task.
 
 Frequencies only decide the order, so links never depend on them.
@@ -39,6 +39,8 @@ _FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 BLOCK_TOKENS, BLOCK_FLOOR = 400_000, 400
 #: The prefix of a set is extended by one of so many of its tokens.
 SPARE_PART = 50
+#: What an index list gives.
+PAIR, ENTRY, CHAIN = 0, 1, 2
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -224,16 +226,26 @@ def _index_entries(sets: DataFrame) -> DataFrame:
 
 
 def _list_edges(entries: DataFrame, short: int, percent: int) -> DataFrame:
-    """Pairs of short lists ``(a, b, na, nb, shared)``, and the entries of ``long`` ones: their sig as ``a``, their set as ``b``.
+    """Pairs of short lists ``(a, b, na, nb, shared)``, what long ones give, and which it is (``kind``).
 
-    ``shared`` counts the rare tokens among the lists. One list after the other streams through a task.
+    ``shared`` counts the rare tokens among the lists. A long list of a rare token gives its entries, its sig as ``a`` and a set
+    as ``b``; that of a combination gives a chain through its members, of whose equal links a task emits (mostly) one. One list
+    after the other streams through a task.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         last, token = None, 0  # the list that a batch may have cut
         held_sid, held_n, long = [], [], False
-        names = ("long", "a", "b", "na", "nb", "shared")
+        names = ("kind", "a", "b", "na", "nb", "shared")
         out: list[tuple] = []
+        chained: set[tuple[int, int]] = set()
+
+        def link(i: int, s: int, k: int) -> None:
+            pair = (min(held_sid[i], s), max(held_sid[i], s))
+            if held_n[i] * 100 >= percent * k and pair not in chained:
+                if len(chained) < 300_000:
+                    chained.add(pair)
+                out.append((CHAIN, *pair, 0, 0, 0))
 
         def close() -> None:
             if not long:
@@ -241,7 +253,7 @@ def _list_edges(entries: DataFrame, short: int, percent: int) -> DataFrame:
                     for j in range(i + 1, len(held_sid)):
                         if held_n[i] * 100 >= percent * held_n[j]:
                             pair = sorted(((held_sid[i], held_n[i]), (held_sid[j], held_n[j])))
-                            out.append((False, pair[0][0], pair[1][0], pair[0][1], pair[1][1], token))
+                            out.append((PAIR, pair[0][0], pair[1][0], pair[0][1], pair[1][1], token))
 
         def table() -> dict:
             return dict(zip(names, map(list, zip(*out))))
@@ -265,13 +277,14 @@ def _list_edges(entries: DataFrame, short: int, percent: int) -> DataFrame:
                         continue
                     held_sid.append(s)
                     held_n.append(k)
-                    if long:
-                        out.append((True, last, s, 0, k, token))
-                        held_sid, held_n = [s], [k]
-                    elif len(held_sid) > short:
-                        long = True
-                        out += [(True, last, x, 0, y, token) for x, y in zip(held_sid, held_n)]
-                        held_sid, held_n = [s], [k]
+                    if not long and len(held_sid) <= short:
+                        continue
+                    if token:
+                        out += [(ENTRY, last, x, 0, y, token) for x, y in zip(held_sid[int(long) :], held_n[int(long) :])]
+                    else:
+                        for i in range(len(held_sid) - 1):
+                            link(i, held_sid[i + 1], held_n[i + 1])
+                    held_sid, held_n, long = [s], [k], True
             if len(out) > 50_000:
                 yield table()
                 out.clear()
@@ -280,14 +293,14 @@ def _list_edges(entries: DataFrame, short: int, percent: int) -> DataFrame:
             yield table()
 
     sorted_lists = entries.repartition("sig").sortWithinPartitions("sig", "n", "sid")
-    edges = arrow_map(sorted_lists, work, "long boolean, a long, b long, na int, nb int, shared int")
-    return edges.groupBy("long", "a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
+    edges = arrow_map(sorted_lists, work, "kind int, a long, b long, na int, nb int, shared int")
+    return edges.groupBy("kind", "a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
 
 
 def _unseen(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """For sets that have such, the tokens of their prefix that no pair was counted for: hot ones and those of long lists."""
     hot = sets.where("hidden > 0").groupBy("sid").agg(F.max("hidden").cast("long").alias("unseen"))
-    listed = edges.where("long AND shared > 0").groupBy(F.col("b").alias("sid")).agg(F.count(F.lit(1)).alias("unseen"))
+    listed = edges.where(F.col("kind") == ENTRY).groupBy(F.col("b").alias("sid")).agg(F.count(F.lit(1)).alias("unseen"))
     return hot.unionByName(listed).groupBy("sid").agg(F.sum("unseen").alias("unseen"))
 
 
@@ -297,7 +310,7 @@ def _spare(n: Column) -> Column:
 
 def _counted(edges: DataFrame, unseen: DataFrame) -> DataFrame:
     """Pairs that share enough tokens of their prefixes, as far as these were counted."""
-    pairs = edges.where("NOT long").select("a", "b", "na", "nb", "shared", F.least(_spare(F.col("na")), _spare(F.col("nb"))).alias("beyond"))
+    pairs = edges.where(F.col("kind") == PAIR).select("a", "b", "na", "nb", "shared", F.least(_spare(F.col("na")), _spare(F.col("nb"))).alias("beyond"))
     sides = [unseen.select(F.col("sid").alias(c), F.col("unseen").alias(f"_{c}")) for c in ("a", "b")]
     others = pairs.where("shared <= beyond").join(sides[0], "a").join(sides[1], "b").where(F.col("shared") + F.least("_a", "_b") > F.col("beyond"))
     columns = ["a", "b", "na", "nb"]
@@ -305,21 +318,30 @@ def _counted(edges: DataFrame, unseen: DataFrame) -> DataFrame:
 
 
 def _chains(edges: DataFrame, unseen: DataFrame, percent: int) -> DataFrame:
-    """A chain through each long list, by size, of those sets that could link by long lists and hot tokens alone."""
+    """Chains of combinations, and one through each long list of a rare token of those sets that could link by what is unseen alone.
+
+    The lists of a group of near copies hold the same sets in the same order: of equal links a task emits (mostly) one.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen: set[tuple[int, int]] = set()
         last = [np.zeros(0, dtype=np.int64)] * 3
         for batch in batches:
             own = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sig", "sid", "n")]
             sig, sid, n = map(np.concatenate, zip(last, own))
             last = [x[-1:] for x in (sig, sid, n)]
             linked = (sig[1:] == sig[:-1]) & (n[:-1] * 100 >= percent * n[1:])
-            yield {"u": np.minimum(sid[1:], sid[:-1])[linked], "v": np.maximum(sid[1:], sid[:-1])[linked]}
+            found = dict.fromkeys(zip(np.minimum(sid[1:], sid[:-1])[linked].tolist(), np.maximum(sid[1:], sid[:-1])[linked].tolist()))
+            new = [x for x in found if x not in seen]
+            if len(seen) < 300_000:
+                seen.update(new)
+            yield {"u": [u for u, _ in new], "v": [v for _, v in new]}
 
     least = F.expr(f"(cast(nb AS long) * {percent} + 99) div 100")  # of a set that links with it
-    listed = edges.where("long").select(F.col("a").alias("sig"), F.col("b").alias("sid"), F.col("nb").alias("n"), _spare(least).alias("beyond"))
+    listed = edges.where(F.col("kind") == ENTRY).select(F.col("a").alias("sig"), F.col("b").alias("sid"), F.col("nb").alias("n"), _spare(least).alias("beyond"))
     own = listed.join(unseen, "sid").where("unseen > beyond").select("sig", "sid", "n")
-    return arrow_map(own.repartition("sig").sortWithinPartitions("sig", "n", "sid"), work, "u long, v long").distinct()
+    chains = edges.where(F.col("kind") == CHAIN).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return arrow_map(own.repartition("sig").sortWithinPartitions("sig", "n", "sid"), work, "u long, v long").unionByName(chains).distinct()
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
