@@ -94,6 +94,18 @@ def test_contributors_are_chosen_before_the_shuffle(spark, monkeypatch, first):
     assert len(read) == 1 and "WindowGroupLimit" in read[0]
 
 
+def test_profiles_are_spelled_out_once_for_all_folds(spark, monkeypatch):
+    texts = ["urgent verify account", "project plan notes", "verify urgent prize", "notes for plan"]
+    docs = spark.createDataFrame([(i, f"g{i % 12}", i % 2, f"{texts[i % 4]} {i % 5}") for i in range(48)], "id long, grp string, label int, text string")
+    written = []
+    monkeypatch.setattr(training, "materialize", lambda df, schema=None, write=training.materialize: (written.append(df.columns), write(df, schema))[1])
+    score = lambda: {r.id: round(r.score, 9) for r in training.out_of_fold_scores(docs, "id", "grp", min_df={"word": 2, "char": 3}).collect()}
+    once = score()
+    assert [c for c in written if any(n.startswith("features") for n in c)] == [["id", "grp", "label", "fold", "nnz0", "features0", "nnz1", "features1", "nnz2", "features2"]]
+    monkeypatch.setattr(training, "BROADCAST_TERMS", 0)
+    assert len(once) == 48 and score() == pytest.approx(once, abs=1e-6)
+
+
 # --- families ------------------------------------------------------------------------
 
 
