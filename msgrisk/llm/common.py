@@ -129,12 +129,14 @@ def release(spark: SparkSession, settled: bool = False) -> None:
     """Let the driver forget plans that are out of use, so that Spark's cleaner drops their shuffle files now.
 
     The JVM hears up to a second later what Python has let go; ``settled`` waits for that, so that files of the step just
-    done go as well.
+    done go as well, and for the cleaner, which works through what it finds after the call.
     """
     gc.collect()
     if settled:
         time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
+    if settled:
+        time.sleep(1.5)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
